@@ -1,0 +1 @@
+"""Nothing is streamed: every operator of this engine is a batch operator over complete tables."""
