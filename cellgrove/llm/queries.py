@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrove.llm import decontaminate, language, matroska, toxicity
+from cellgrove.llm import decontaminate, html_text, language, lattice, matroska, simhash, toxicity
 from cellgrove.llm.common import residue, table
 
 
@@ -24,10 +22,24 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = residue("doc_id", 5) == 1
+    return lattice.score(table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs, residue("doc_id", 4) != 2)
@@ -35,7 +47,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_decontaminate, op8_media, op10_language)}
+    return {f.__name__: f for f in (op1_toxicity, op3_lattice, op4_decontaminate, op7_simhash, op8_media, op9_html, op10_language)}
 
 
 #: Words of benchmark items and documents, windows by length, and the words that windows cover.
