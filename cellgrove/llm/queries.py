@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellgrove.llm import decontaminate, html_text, language, lattice, matroska, simhash, toxicity
+from cellgrove.llm import decontaminate, html_text, language, lattice, lines, matroska, mixing, pii, simhash, toxicity
 from cellgrove.llm.common import residue, table
 
 
@@ -22,11 +22,24 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = residue("doc_id", 5) == 1
     return lattice.score(table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source_group", "lang_group", "topic_group", "n_tokens", F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability"), "selected")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of(F.col("fingerprint")).alias("fingerprint"), "component_id")
@@ -47,7 +60,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_lattice, op4_decontaminate, op7_simhash, op8_media, op9_html, op10_language)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_lattice, op4_decontaminate, op5_lines, op6_mixing, op7_simhash, op8_media, op9_html, op10_language)}
 
 
 #: Words of benchmark items and documents, windows by length, and the words that windows cover.
@@ -65,5 +78,18 @@ FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+#: Every line with its document and place; keys that enough documents hold and the largest of these; what stays.
+OP5_SQL = r"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, i, ls[i] AS line, translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM docs, unnest(range(1, len(ls) + 1)) u(i)),
+common AS (SELECT k, max(doc_id) AS top FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+kept AS (SELECT l.*, c.k IS NULL OR l.doc_id = c.top AS stays FROM lines l LEFT JOIN common c USING (k))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (NOT stays)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '')) AS kept_sha256
+FROM kept GROUP BY doc_id
+"""
+
+OP6_SQL = f"WITH {mixing.mix_sql()} SELECT doc_id, source_group, lang_group, topic_group, n_tokens, round(weight, 9) AS weight, round(probability, 9) AS probability, selected FROM mixed"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op5_lines": OP5_SQL, "op6_mixing": OP6_SQL}
