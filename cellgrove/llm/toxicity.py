@@ -5,6 +5,9 @@ embedding table; a document is the average of its words' bags; two softmax outpu
 are trained together by Adam. Misspellings never seen share n-grams with words that were. After training the outputs
 are folded into the table: a row then adds one number to the log-odds, so that scoring needs one small vector.
 
+Only rows of the table are trained that enough training documents have and whose presence depends on the label; all
+others stay zero, so clean words add nothing, however many there are.
+
 The classifier is fitted on a bounded sample of labelled rows: at most about ``SAMPLE`` documents of each label, drawn
 by a hash of the id, and of a long document at most ``TRAIN_WORDS`` words, taken in evenly spaced stretches. The log-odds are then
 corrected for the drawing. Scoring covers every word of every text.
@@ -24,16 +27,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgrove.llm.common import small_batches, texts_of
+from cellgrove.llm.common import runs, small_batches, texts_of
 
 SAMPLE, TRAIN_WORDS = 3000, 4000
 BUCKETS, DIM, SIZES = 1 << 17, 8, (3, 4, 5)
-EPOCHS, RATE, SEED = 40, 0.05, 7
+EPOCHS, RATE, SEED = 80, 0.1, 7
+#: A row of the table is trained if it is in so many training documents and its presence depends on the label: chi-square of the four counts, over a floor and a share of the documents.
+MIN_DOCS, MIN_CHI, CHI_SHARE = 4, 12.0, 0.012
 
-#: Words whose features a worker keeps at a time.
-CACHE = 300_000
+#: Words whose sums a worker keeps at a time, and bytes of text that it scores together.
+CACHE, TOGETHER = 300_000, 2 << 20
 
-#: Bytes to bytes: A-Z to a-z, ASCII punctuation and digits' neighbours to a space, the rest as it is.
+#: Bytes to bytes: A-Z to a-z, other ASCII but digits and letters to a space, beyond ASCII as it is.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -94,27 +99,50 @@ class Bags:
         return self._sum(self.back, x, self.shape[1])
 
 
+def _telling(rows: np.ndarray, starts: np.ndarray, docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Rows of the table that are worth training, from how many documents of each label have them."""
+    ends = np.append(starts[1:], len(rows))
+    seen = np.zeros((2, BUCKETS))
+    for words, label in zip(docs, labels):
+        size = (ends - starts)[words]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[words], size)
+        seen[label, np.unique(rows[at])] += 1
+    n0, n1 = (labels == 0).sum(), (labels == 1).sum()
+    a, b = seen[1], seen[0]
+    c, d = n1 - a, n0 - b
+    chi = (a * d - b * c) ** 2 * (n0 + n1) / np.maximum((a + b) * (c + d) * n0 * n1, 1)
+    fit_ = (a + b >= MIN_DOCS) & (chi >= max(MIN_CHI, CHI_SHARE * (n0 + n1)))
+    return np.flatnonzero(fit_) if fit_.any() else np.argsort(-chi, kind="stable")[:100]
+
+
 def train(documents: list[list[bytes]], labels: np.ndarray) -> tuple[np.ndarray, float]:
     """The folded model: what each row of the table adds to a document's log-odds, and the bias."""
     counts = [Counter(d) for d in documents]
-    vocabulary = sorted(set().union(*counts)) if counts else []
+    vocabulary = sorted(set().union(*counts))
     number = {w: i for i, w in enumerate(vocabulary)}
     rows, starts = grams(vocabulary) if vocabulary else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     sizes = np.diff(np.append(starts, len(rows)))
-    used, where = np.unique(rows, return_inverse=True)
-    word_of = np.repeat(np.arange(len(vocabulary)), sizes)
-    words = Bags(word_of, where, 1.0 / sizes[word_of], (len(vocabulary), len(used)))
     d = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
     w = np.fromiter((number[x] for c in counts for x in c), np.int64, len(d))
     n = np.fromiter((k for c in counts for k in c.values()), np.float64, len(d))
     total = np.array([max(1, sum(c.values())) for c in counts])
-    texts = Bags(d, w, n / total[d], (len(counts), len(vocabulary)))
+    used = _telling(rows, starts, np.split(w, np.flatnonzero(np.diff(d)) + 1) if len(set(d.tolist())) == len(counts) else [w[d == i] for i in range(len(counts))], labels)
+    place = np.full(BUCKETS, -1)
+    place[used] = np.arange(len(used))
+    word_of = np.repeat(np.arange(len(vocabulary)), sizes)
+    some = place[rows] >= 0
+    words = Bags(word_of[some], place[rows[some]], 1.0 / sizes[word_of[some]], (len(vocabulary), len(used)))
+    has = np.zeros(len(vocabulary), bool)
+    has[word_of[some]] = True
+    texts = Bags(d[has[w]], w[has[w]], (n / total[d])[has[w]], (len(counts), len(vocabulary)))
 
     rng = np.random.default_rng(SEED)
     table = rng.normal(0, 0.05, (len(used), DIM)).astype(np.float32)
     top = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    scale = np.float32(30)  # averages of many words are small; fixed, so it changes only the pace of learning
+    # averages of few telling parts among many are small: a fixed factor sets the pace of learning
+    share = texts(words(np.ones((len(used), 1), np.float32)))
+    scale = np.float32(1 / max(1e-6, float(share[labels == 1].mean())))
     params = [table, top, bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     truth = np.eye(2, dtype=np.float32)[labels]
@@ -180,20 +208,15 @@ class Scorer:
             self.known.update(zip(some, (np.add.reduceat(self.odds[rows], starts) / sizes).tolist()))
 
     def means(self, texts: list[bytes]) -> list[float | None]:
-        out = []
-        for t in texts:
-            words = words_of(t)
-            if not words:
-                out.append(None)
-                continue
-            counts = Counter(words)
-            if new := [w for w in counts if w not in self.known]:
-                if len(self.known) > CACHE:
-                    self.known.clear()
-                    new = list(counts)
-                self._learn(new)
+        out: list[float | None] = []
+        for group in runs(((len(t) + 1, t) for t in texts), TOGETHER):
+            counts = [Counter(words_of(t)) for t in group]
+            if len(self.known) > CACHE:
+                self.known.clear()
             known = self.known
-            out.append(sum(known[w] * n for w, n in counts.items()) / len(words))
+            if new := list({w: None for c in counts for w in c if w not in known}):
+                self._learn(new)
+            out += [sum(known[w] * n for w, n in c.items()) / c.total() if c else None for c in counts]
         return out
 
 
