@@ -8,7 +8,7 @@ article on a host keep their text. Elements whose tag, role, class or id names a
 notice, advert, form, comment section or the like are deleted wherever they stand, as are scripts and styles.
 
 What is left of the article (of all that is left of the body, if there is none) is cut at block elements; white space
-inside a block becomes one space, ends are trimmed, empty blocks go, and blocks are joined by a line feed.
+(no-break spaces too) inside a block becomes one space, ends are trimmed, empty blocks go, and blocks are joined by a line feed.
 
 Defined results: a null or empty page gives the empty text; a page without an address counts under the empty host;
 pages that share an id share their template hashes; text outside any element counts as body. A hot host is counted
@@ -49,7 +49,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>)", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][^\s=/>\"']*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-GAPS = re.compile(r"[ \t\n\r\f\v ]+")
+GAPS = re.compile(r"\s+")
 
 
 class Page:
@@ -102,7 +102,7 @@ class Page:
 
     def _flush(self) -> None:
         if self.open:
-            text = GAPS.sub(" ", "".join(self.open)).strip(" ")
+            text = GAPS.sub(" ", "".join(self.open)).strip()
             self.open = []
             if text:
                 self.blocks.append((self.zone, text))
