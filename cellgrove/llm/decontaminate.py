@@ -43,7 +43,8 @@ def suffix_array(tokens: np.ndarray, depth: int, keep: np.ndarray) -> np.ndarray
     width = 1
     while width < depth:
         ahead = np.zeros(n, np.int64)
-        ahead[: n - width] = rank[width:] if width < n else []
+        if width < n:
+            ahead[: n - width] = rank[width:]
         rank = np.unique(rank * (rank.max() + 1) + ahead, return_inverse=True)[1].astype(np.int64) + 1
         width *= 2
     places = np.flatnonzero(keep)

@@ -2,8 +2,8 @@
 
 Base: e-mail, IP, card and phone spans by linear-time regular expressions (possessive, anchored at the start of a run),
 then checks of parts, digits and Luhn sums. They are the seeds. Candidates are white-space-delimited tokens with a
-digit or an at sign. Seeds induce lexical patterns: the word before, the word after or the token's own lead-in (such as
-``password=``), each with the token's shape. Spark scores the graph of patterns and instances in ``ROUNDS`` rounds: a pattern's
+digit or an at sign. Seeds induce lexical patterns: the word before or the word after with the token's shape, both words together, or
+the token's own lead-in (such as ``password=``). Spark scores the graph of patterns and instances in ``ROUNDS`` rounds: a pattern's
 confidence is the mean of its distinct instances' (less for few known ones), an instance's is one less the product of its confident
 patterns' doubts. Instances above ``SURE`` that are no seeds are new identifiers; their tokens become spans of kind
 ``learned`` where they touch no base span.
@@ -104,7 +104,7 @@ def learn(base: DataFrame, tokens: DataFrame, rounds: int = ROUNDS, sure: float
     spanned = tokens.join(base.select("row", F.col("start").alias("s"), F.col("end").alias("e")), "row").filter("start < e and s < end").select("match").distinct()
     shape = shape_of(F.col("match"))
     lead = F.regexp_extract("match", r"^([\p{L}_-]+[=:])", 1)
-    patterns = F.array(F.concat_ws("\x01", F.lit("before"), "before", shape), F.concat_ws("\x01", F.lit("after"), "after", shape), F.when(lead != "", F.concat_ws("\x01", F.lit("lead"), lead)))
+    patterns = F.array(F.concat_ws("\x01", F.lit("before"), "before", shape), F.concat_ws("\x01", F.lit("after"), "after", shape), F.concat_ws("\x01", F.lit("both"), "before", "after"), F.when(lead != "", F.concat_ws("\x01", F.lit("lead"), lead)))
     edges = written(tokens.filter(F.length("match") >= 4).select("match", F.explode(patterns).alias("pattern")).filter("pattern is not null").distinct())
     known = written(spanned.select("match", F.lit(1.0).alias("conf")))
     seeds = known.select("match")
