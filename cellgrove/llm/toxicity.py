@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,18 +115,25 @@ def _telling(rows: np.ndarray, starts: np.ndarray, docs: list[np.ndarray], label
     return np.flatnonzero(fit_) if fit_.any() else np.argsort(-chi, kind="stable")[:100]
 
 
-def train(documents: list[list[bytes]], labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """The folded model: what each row of the table adds to a document's log-odds, and the bias."""
-    counts = [Counter(d) for d in documents]
-    vocabulary = sorted(set().union(*counts))
-    number = {w: i for i, w in enumerate(vocabulary)}
-    rows, starts = grams(vocabulary) if vocabulary else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+def train(documents: Iterable[list[bytes]], labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """The folded model: what each row of the table adds to a document's log-odds, and the bias. Documents are taken one by one and kept as numbers."""
+    number: dict[bytes, int] = {}
+    own, times = [], []
+    for words in documents:
+        c = Counter(words)
+        own.append(np.fromiter((number.setdefault(x, len(number)) for x in c), np.int32, len(c)))
+        times.append(np.fromiter(c.values(), np.float32, len(c)))
+    vocabulary = list(number)
+    parts = [grams(vocabulary[i : i + 50_000]) for i in range(0, len(vocabulary), 50_000)] or [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    ends = np.cumsum([0, *(len(r) for r, _ in parts)])
+    rows = np.concatenate([r.astype(np.int32) for r, _ in parts])
+    starts = np.concatenate([s + e for (_, s), e in zip(parts, ends)])
+    del parts, number
     sizes = np.diff(np.append(starts, len(rows)))
-    d = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
-    w = np.fromiter((number[x] for c in counts for x in c), np.int64, len(d))
-    n = np.fromiter((k for c in counts for k in c.values()), np.float64, len(d))
-    total = np.array([max(1, sum(c.values())) for c in counts])
-    used = _telling(rows, starts, np.split(w, np.flatnonzero(np.diff(d)) + 1) if len(set(d.tolist())) == len(counts) else [w[d == i] for i in range(len(counts))], labels)
+    d = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    w, n = np.concatenate(own), np.concatenate(times)
+    total = np.array([max(1.0, float(x.sum())) for x in times])
+    used = _telling(rows, starts, own, labels)
     place = np.full(BUCKETS, -1)
     place[used] = np.arange(len(used))
     word_of = np.repeat(np.arange(len(vocabulary)), sizes)
@@ -134,7 +141,7 @@ def train(documents: list[list[bytes]], labels: np.ndarray) -> tuple[np.ndarray,
     words = Bags(word_of[some], place[rows[some]], 1.0 / sizes[word_of[some]], (len(vocabulary), len(used)))
     has = np.zeros(len(vocabulary), bool)
     has[word_of[some]] = True
-    texts = Bags(d[has[w]], w[has[w]], (n / total[d])[has[w]], (len(counts), len(vocabulary)))
+    texts = Bags(d[has[w]], w[has[w]], (n / total[d])[has[w]], (len(own), len(vocabulary)))
 
     rng = np.random.default_rng(SEED)
     table = rng.normal(0, 0.05, (len(used), DIM)).astype(np.float32)
@@ -180,17 +187,19 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_
     part = {k: min(1.0, SAMPLE / n[k]) for k in (0, 1)}
     u = F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
     drawn = known.filter(u < F.when(F.col("_label") == 1, part[1]).otherwise(part[0]))
-    schema = "label int, words array<binary>"
+    drawn = drawn.select(F.col(key).alias("_key"), "_label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_excerpt(words_of(t)) for t in texts_of(batch.column(1))], pa.list_(pa.binary()))], ["label", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b" ".join(_excerpt(words_of(t))) for t in texts_of(batch.column(2))], pa.binary())], ["key", "label", "words"])
 
-    found = documents.select(key, text).join(F.broadcast(drawn), key).select("_label", text).mapInArrow(run, schema).toArrow()
-    y, docs = np.array(found["label"].to_pylist(), np.int64), found["words"].to_pylist()
+    kind = drawn.schema["_key"].dataType.simpleString()
+    own = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_key").select("_key", "_label", "_text")
+    found = own.mapInArrow(run, f"key {kind}, label int, words binary").toArrow().sort_by([("key", "ascending"), ("words", "ascending")])
+    y = found["label"].to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
         return np.zeros(BUCKETS, np.float32), 0.0, share
-    odds, bias = train(docs, y)
+    odds, bias = train((x.as_py().split() for x in found["words"]), y)
     return odds, bias - float(np.log(part[1] / part[0])), share
 
 
