@@ -42,6 +42,11 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
+def exterior_orientations(dim: int, highest_first: bool = True) -> list[int]:
+    """The orientations of a cell's open faces but its inside, by the face's dimension; equal dimensions by number."""
+    return sorted(range((1 << dim) - 1), key=lambda o: (-o.bit_count() if highest_first else o.bit_count(), o))
+
+
 @dataclass(frozen=True)
 class Grid:
     dim: int

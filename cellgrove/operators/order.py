@@ -94,13 +94,30 @@ def containing_part(points: DataFrame, splits: DataFrame, grid: Grid, name: str
     return own.select("_row.*", F.coalesce("_found", "_carried").alias(name))
 
 
-def max_lower_bound(keys: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:
-    """For every key the largest value that is not above it (null if there is none), by a window over ranges of the merged order."""
-    both = keys.select(F.col(key).alias("_v"), F.lit(1).alias("_kind")).unionByName(values.select(F.col(value).alias("_v"), F.lit(0).alias("_kind")))
-    dealt = materialise(both.repartitionByRange("_v", "_kind").withColumn("_range", F.spark_partition_id()))
-    lasts = dealt.filter("_kind = 0").groupBy("_range").agg(F.max("_v").alias("_last"))
-    ranges = dealt.select("_range").distinct().join(lasts, "_range", "left")
+def prune_to_part(octants: DataFrame, grid: Grid, part: int, parts: int) -> DataFrame:
+    """One of ``parts`` equal runs of the order."""
+    return partition_ranges(octants, grid, parts).filter(F.col("part") == part).drop("part")
+
+
+def _bound(keys: DataFrame, values: DataFrame, key: str, value: str, above: bool) -> DataFrame:
+    """A merge of keys and values in one order, dealt into ranges: each range's window, and what is carried into it from the ranges before."""
+    sign = -1 if above else 1
+    own = 0 if above else 1  # of equal keys and values, values come first looking down, keys looking strictly up
+    both = keys.select(F.col(key).alias("_v"), F.lit(own).alias("_kind")).unionByName(values.filter(F.col(value).isNotNull()).select(F.col(value).alias("_v"), F.lit(1 - own).alias("_kind")))
+    dealt = materialise(both.withColumn("_o", F.col("_v") * sign).repartitionByRange("_o", "_kind").withColumn("_range", F.spark_partition_id()))
+    seen = F.max(F.when(F.col("_kind") != own, F.col("_o")))
+    ranges = dealt.groupBy("_range").agg(seen.alias("_last"))
     carried = ranges.select("_range", F.max("_last").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
-    w = Window.partitionBy("_range").orderBy("_v", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = F.max(F.when(F.col("_kind") == 0, F.col("_v"))).over(w)
-    return dealt.withColumn("_found", found).filter("_kind = 1").join(F.broadcast(carried), "_range").select(F.col("_v").alias(key), F.coalesce("_found", "_carried").alias(value))
+    w = Window.partitionBy("_range").orderBy("_o", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.withColumn("_found", seen.over(w)).filter(F.col("_kind") == own).join(F.broadcast(carried), "_range")
+    return found.select(F.col("_v").alias(key), (F.coalesce("_found", "_carried") * sign).alias(value))
+
+
+def max_lower_bound(keys: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:
+    """For every key the largest value that is not above it; null if there is none."""
+    return _bound(keys, values, key, value, False)
+
+
+def min_upper_bound(keys: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:
+    """For every key the least value that is above it; null if there is none."""
+    return _bound(keys, values, key, value, True)

@@ -13,14 +13,19 @@ def _root_if_any(df: DataFrame, grid: Grid) -> DataFrame:
     return df.limit(1).select(*grid.row(0, [F.lit(0)] * grid.dim))
 
 
+def ancestors(df: DataFrame, grid: Grid, first: int, below: int, last: int, *keep: str) -> DataFrame:
+    """(keep.., lev, x..): every octant's ancestors of the levels ``first`` to ``last`` that are ``below`` levels coarser or more (0: itself too)."""
+    above = [F.when(F.col("lev") - below >= k, F.struct(*grid.ancestor(k))) for k in range(first, last + 1)] or [F.when(F.lit(False), F.struct(*grid.ancestor(0)))]
+    return df.select(*keep, F.explode(F.array(*above)).alias("_a")).filter("_a is not null").select(*keep, *(F.col(f"_a.{k}").alias(k) for k in grid.keys))
+
+
 def level_counts(points: DataFrame, grid: Grid, last: int) -> DataFrame:
     """(lev, x.., n): points in every occupied cell of the levels 1 .. ``last``. A coarse octant counts for its own level and above only.
 
     Equal points are summed before their ancestors are laid out, so what is shuffled is bounded by distinct cells.
     """
     cells = points.groupBy(*grid.keys).agg(F.count("*").alias("n"))
-    levels = cells.filter(F.col("lev") >= 1).select("n", *grid.axes, F.explode(F.sequence(F.lit(1), F.least(F.col("lev"), F.lit(last)))).alias("l"))
-    return levels.select("n", *grid.row(F.col("l"), [grid.mask(x, F.col("l")) for x in grid.x()])).groupBy(*grid.keys).agg(F.sum("n").alias("n"))
+    return ancestors(cells, grid, 1, 0, last, "n").groupBy(*grid.keys).agg(F.sum("n").alias("n"))
 
 
 def construct(points: DataFrame, grid: Grid, max_points: int = 1, leaf_depth: int | None = None) -> DataFrame:
@@ -43,8 +48,7 @@ def remove_duplicates(octants: DataFrame, grid: Grid) -> DataFrame:
 def remove_ancestors(octants: DataFrame, grid: Grid) -> DataFrame:
     """The finest octants: duplicates and every octant that holds another are dropped."""
     own = remove_duplicates(octants, grid)
-    up = own.filter(F.col("lev") > 0).select(*grid.axes, F.explode(F.sequence(F.lit(0), F.col("lev") - 1)).alias("l"))
-    above = up.select(*grid.row(F.col("l"), [grid.mask(x, F.col("l")) for x in grid.x()])).distinct()
+    above = ancestors(own, grid, 0, 1, grid.depth - 1).distinct()
     return own.join(above, grid.keys, "left_anti")
 
 
@@ -76,20 +80,23 @@ def balance_violations(tree: DataFrame, grid: Grid) -> DataFrame:
     cols = [f"a_{k}" for k in grid.keys]
     own = tree.select(*grid.keys, *(F.col(k).alias(c) for k, c in zip(grid.keys, cols)))
     near = grid.with_neighbours(own.filter(F.col("lev") >= 2), *cols)
-    up = near.select(*cols, *grid.axes, F.explode(F.sequence(F.lit(0), F.col("lev") - 2)).alias("l"))
-    above = up.select(*cols, *grid.row(F.col("l"), [grid.mask(x, F.col("l")) for x in grid.x()])).distinct()
+    above = ancestors(near, grid, 0, 2, grid.depth - 2, *cols).distinct()
     return above.join(tree.select(*grid.keys), grid.keys).select(*(F.col(c).alias(k) for k, c in zip(grid.keys, cols)), *(F.col(k).alias(f"near_{k}") for k in grid.keys))
 
 
 def completeness(tree: DataFrame, grid: Grid) -> DataFrame:
     """(leaves, measure, overlaps): a complete tree has measure 1 and no leaf that holds another."""
-    up = tree.filter(F.col("lev") > 0).select(*grid.axes, F.explode(F.sequence(F.lit(0), F.col("lev") - 1)).alias("l"))
-    above = up.select(*grid.row(F.col("l"), [grid.mask(x, F.col("l")) for x in grid.x()])).distinct()
+    above = ancestors(tree, grid, 0, 1, grid.depth - 1).distinct()
     overlaps = tree.join(above, grid.keys, "left_semi").agg(F.count("*").alias("overlaps"))
     total = tree.agg(F.count("*").alias("leaves"), F.coalesce(F.sum(F.pow(F.lit(0.5), F.col("lev") * grid.dim)), F.lit(0.0)).alias("measure"))
     return total.crossJoin(F.broadcast(overlaps))  # one row each
 
 
+def subtree_sizes(tree: DataFrame, grid: Grid) -> DataFrame:
+    """(lev, most): the most leaves under one cell of each level that has any."""
+    return level_counts(tree, grid, grid.depth).groupBy("lev").agg(F.max("n").alias("most"))
+
+
 def level_histogram(tree: DataFrame) -> DataFrame:
     return tree.groupBy("lev").agg(F.count("*").alias("n"))
 

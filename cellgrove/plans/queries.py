@@ -319,6 +319,11 @@ def project_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.project_slice(leaves(spark, sf_dir), G, 1, 1 << 19)
 
 
+@query(f"WITH {TREE}, up AS (SELECT l::INT AS lev, {cut('x0', 'l')} AS x0, {cut('x1', 'l')} AS x1, count(*) AS n FROM tree, unnest(range(1, 9)) u(l) WHERE l <= lev GROUP BY ALL) SELECT lev, max(n) AS most FROM up GROUP BY lev")
+def subtree_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.subtree_sizes(leaves(spark, sf_dir), G)
+
+
 @query(f"WITH {TREE} SELECT lev, x1 AS x0, x0 AS x1 FROM tree")
 def permute_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.permute_axes(leaves(spark, sf_dir), [1, 0])
@@ -394,6 +399,17 @@ def max_lower_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.max_lower_bound(keys, read(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0"), "l_orderkey", "o_orderkey")
 
 
+@query("SELECT l_orderkey, k AS o_orderkey FROM (SELECT l_orderkey * 3 // 2 AS l_orderkey FROM lineitem) l ASOF JOIN (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 5 = 0) o ON l.l_orderkey < o.k")
+def min_upper_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = read(spark, sf_dir, "lineitem").select(F.expr("l_orderkey * 3 div 2").alias("l_orderkey"))
+    return order.min_upper_bound(keys, read(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0"), "l_orderkey", "o_orderkey").filter("o_orderkey is not null")
+
+
+@query(f"WITH {TREE}, {RANGES} SELECT lev, x0, x1 FROM ranges WHERE part = 3")
+def prune_to_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.prune_to_part(leaves(spark, sf_dir), G, 3, PARTS)
+
+
 NEAR_NODES = (
     f"{cg_sql(1)}, {RANGES.replace('FROM tree', 'FROM balanced')}, {SPLITS}, cells AS (SELECT n0, n1, 20 AS lev, x0, x1 FROM (SELECT x0 AS n0, x1 AS n1, x0 - (c & 1) AS x0, x1 - (c >> 1) AS x1 FROM cg, unnest(range(4)) u(c)) k WHERE x0 >= 0 AND x1 >= 0 AND x0 < 1048576 AND x1 < 1048576), "
     f"near AS (SELECT DISTINCT n0, n1, part FROM (SELECT *, {PATH} AS path FROM cells) c ASOF JOIN splits s ON c.path >= s.path), "

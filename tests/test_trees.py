@@ -5,12 +5,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellgrove.functions import curve
-from cellgrove.functions.octant import Grid
+from cellgrove.functions import basis, curve
+from cellgrove.functions.octant import Grid, exterior_orientations
 from cellgrove.operators import elements, nodes, order, tree, vectors
 from cellgrove.plans import queries
 from cellgrove.plans.work import materialise
 from cellgrove.sources import files, generators
+from cellgrove.sources.raster import rasterise_field
 from tests.conftest import SF
 
 
@@ -185,6 +186,36 @@ def test_reference_element():
     assert np.allclose(elements.ReferenceElement(1, 3).lobatto, [0, (1 - 5**-0.5) / 2, (1 + 5**-0.5) / 2, 1])
 
 
+def test_known_interpolation_weights():
+    assert np.allclose(elements.half_interpolation(1, 0), [[1, 0], [0.5, 0.5]])
+    assert np.allclose(elements.half_interpolation(2, 0), [[1, 0, 0], [3 / 8, 3 / 4, -1 / 8], [0, 1, 0]])
+    assert np.allclose(elements.half_interpolation(2, 1), [[0, 1, 0], [-1 / 8, 3 / 4, 3 / 8], [0, 0, 1]])
+
+
+@pytest.mark.parametrize("a,b", [(0, 0), (1, 1), (0.5, 2), (-0.5, -0.5)])
+def test_jacobi_polynomials(a, b):
+    x, w = basis.gauss(a, b, 7)
+    p = np.stack([basis.jacobi(x, a, b, n) for n in range(6)])
+    assert np.allclose(p * w @ p.T, np.eye(6))
+    h = 1e-6
+    assert np.allclose(basis.jacobi_slope(x, a, b, 4), (basis.jacobi(x + h, a, b, 4) - basis.jacobi(x - h, a, b, 4)) / (2 * h), atol=1e-5)
+    assert np.allclose(basis.jacobi_slope(basis.lobatto(0, 0, 5)[1:-1], 0, 0, 5), 0)
+    assert np.linalg.matrix_rank(basis.vandermonde(x, 7)) == 8
+
+
+def test_exterior_orientations():
+    assert exterior_orientations(3) == [3, 5, 6, 1, 2, 4, 0] and exterior_orientations(2, False) == [0, 1, 2]
+
+
+def test_fields_on_rasters(spark):
+    g = Grid(2, 10)
+    for p in (1, 2):
+        mesh = elements.build_mesh(generators.centre_refined(spark, g, 3), g, p)
+        x, y = mesh.coordinates()
+        got = rasterise_field(mesh, vectors.by_function(mesh.nodes, [x * 2 - y]), 4).collect()
+        assert len(got) == 256 and all(r.v == pytest.approx((r.i0 + 0.5) / 8 - (r.i1 + 0.5) / 16) for r in got)
+
+
 def test_refinement_by_function(spark):
     g = Grid(2, 12)
     flat = generators.refine_by_function(spark, g, lambda x: x[:, 0], 1, 1e-6, 6)
