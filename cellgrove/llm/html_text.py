@@ -5,7 +5,7 @@ closes them). Every element subtree outside the main article is hashed from its
 the hashes per host, each once a page; subtrees that recur on ``MIN_PAGES`` pages or more and on ``SHARE`` of the host's pages are the
 site's template and are deleted. The article itself (``article``, else ``main``) is never counted, so copies of one
 article on a host keep their text. Elements whose tag, role, class or id names a menu, header, footer, side bar,
-notice, advert, form, comment section or the like are deleted wherever they stand, as are scripts and styles.
+notice, advert, form, comment section or the like are deleted wherever they stand (an article's own header stays), as are scripts and styles.
 
 What is left of the article (of all that is left of the body, if there is none) is cut at block elements; white space
 (no-break spaces too) inside a block becomes one space, ends are trimmed, empty blocks go, and blocks are joined by a line feed.
@@ -124,7 +124,7 @@ class Page:
         found = {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTR.findall(attrs)} if attrs.strip() else {}
         names = f"{found.get('class', '')} {found.get('id', '')}".strip()
         inside = parent[4]
-        dropped = parent[2] or name in DROPPED or (name == "header" and not inside) or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or (bool(names) and name not in ("body", "html", "article", "main") and bool(NAMES.search(names)))
+        dropped = parent[2] or name in DROPPED or (name == "header" and not inside) or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or (bool(names) and name not in ("body", "html", "article", "main") and any(not inside or m[0].strip(" _-").lower() != "header" for m in NAMES.finditer(names)))
         if name in ("article", "main") and not dropped:
             self._flush()
             self.zone = max(self.zone, 2 if name == "article" else 1)

@@ -63,6 +63,7 @@ def test_main_text():
     assert html_text.Page(PAGE).text().split("\n") == ["A & B", "One two three", "Four five six", "x", "y"]
     assert html_text.Page("<p>no article<p>here").text() == "no article\nhere"
     assert html_text.Page("<main>kept</main>dropped").text() == "kept"
+    assert html_text.Page("<div class=page-header>Site</div><article><div class='entry-header'><h2>Own</h2></div><p class=ad-box>Ad</p>x</article>").text() == "Own\nx"
     assert html_text.Page("plain").text() == "plain" and html_text.Page("<p").text() == "<p"
     assert html_text.Page("<article>a < b &lt;c&gt; &amp;amp; &unknown;</article>").text() == "a < b <c> &amp; &unknown;"
 
