@@ -3,7 +3,7 @@
 A page is cut into tags and text by one regular expression and read as a tree (omitted end tags are closed as HTML
 closes them). Every element subtree outside the main article is hashed from its tag, class and content; Spark counts
 the hashes per host, each once a page; subtrees that recur on ``MIN_PAGES`` pages or more and on ``SHARE`` of the host's pages are the
-site's template and are deleted. The article itself (``article``, else ``main``) is never counted, so copies of one
+site's template and are deleted. The article itself (``article``, else ``main``) is never counted, nor is what it stands in, so copies of one
 article on a host keep their text. Elements whose tag, role, class or id names a menu, header, footer, side bar,
 notice, advert, form, comment section or the like are deleted wherever they stand (an article's own header stays), as are scripts and styles.
 
@@ -57,7 +57,7 @@ class Page:
 
     def __init__(self, source: str, template: frozenset[int] = frozenset()):
         self.template = template
-        self.stack: list[list] = [["", "", False, [], False, 0]]  # tag, names, dropped, digests, inside the main article, first block
+        self.stack: list[list] = [["", "", False, [], False, 0, False]]  # tag, names, dropped, digests, inside the main article, first block, around an article
         self.blocks: list[tuple[int, str]] = []  # (0 body, 1 main, 2 article), text
         self.open: list[str] = []
         self.zone = 0
@@ -129,7 +129,7 @@ class Page:
             self._flush()
             self.zone = max(self.zone, 2 if name == "article" else 1)
             inside = True
-        stack.append([name, names, dropped, [], inside, len(self.blocks)])
+        stack.append([name, names, dropped, [], inside, len(self.blocks), False])
 
     def _close_to(self, names: frozenset[str], stops: frozenset[str]) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
@@ -146,16 +146,18 @@ class Page:
                 pass
 
     def _pop(self) -> str:
-        name, names, dropped, digests, inside, first = self.stack.pop()
+        name, names, dropped, digests, inside, first, around = self.stack.pop()
         if name in BLOCK:
             self._flush()
         parent = self.stack[-1]
+        if around or (inside and name in ("article", "main")):
+            parent[6] = True
         if not inside:
             body = GAPS.sub(" ", "\x00".join(digests))
             digest = xxhash.xxh64_intdigest(f"{name}\x01{names}\x01{body}".encode("utf-8", "replace"), 1)
             digest -= (digest >> 63) << 64
             parent[3].append(str(digest))
-            if name not in ("html", "body"):
+            if name not in ("html", "body") and not around:
                 self.hashes.add(digest)
                 if digest in self.template and not dropped:
                     self._flush()

@@ -81,6 +81,14 @@ def test_templates_of_a_site_go(spark, none):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_wrapped_articles_stay(spark):
+    """An element around the article is no template, though all of it but the article recurs, or all of it does."""
+    page = lambda x: f"<div id=page><p>Same</p><section><article><p>Text {x}</p></article></section></div><p>Left over</p>"
+    rows = [(i, "http://a.org/", page(i)) for i in range(9)] + [(100 + i, "http://copies.org/", page("copied").replace("article", "main")) for i in range(9)]
+    found = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"Text {i}" and found[100 + i] == "Text copied" for i in range(9))
+
+
 def test_hosts(spark):
     urls = ["https://User@WWW.Site.org:80/a?b", "//cdn.org/x", "nothing", None, "http://[::1]/"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
