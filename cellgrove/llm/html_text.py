@@ -1,10 +1,12 @@
 """Main text of web pages by removal of site templates.
 
 A page is cut into tags and text by one regular expression and read as a tree (omitted end tags are closed as HTML
-closes them). Every element subtree outside the main article is hashed from its tag, class and content; Spark counts
+closes them). Every element subtree is hashed from its tag, class and content; Spark counts
 the hashes per host, each once a page; subtrees that recur on ``MIN_PAGES`` pages or more and on ``SHARE`` of the host's pages are the
-site's template and are deleted. The article itself (``article``, else ``main``) is never counted, nor is what it stands in, so copies of one
-article on a host keep their text. Elements whose tag, role, class or id names a menu, header, footer, side bar,
+site's template and are deleted. Block elements inside the article (``article``, else ``main``) are counted too, each once for
+every distinct article text that holds it: they are template if they recur on ``MIN_PAGES`` pages, in as many distinct articles, and in ``SHARE``
+of the host's distinct articles. So copies of one article on a host are one article and keep their text. The article
+itself is never counted, nor is what it stands in. Elements whose tag, role, class or id names a menu, header, footer, side bar,
 notice, advert, form, comment section or the like are deleted wherever they stand (an article's own header stays), as are scripts and styles.
 
 What is left of the article (of all that is left of the body, if there is none) is cut at block elements; white space
@@ -53,15 +55,18 @@ GAPS = re.compile(r"\s+")
 
 
 class Page:
-    """One pass over a page. ``hashes``: of subtrees outside the main article. ``blocks``: main text, without the subtrees whose hash is in ``template``."""
+    """One pass over a page. ``hashes``: of subtrees, with the hash of the nearest article or main that they stand in, or None. ``articles``: these hashes. ``blocks``: main text, without the subtrees whose hash is in ``template``."""
 
     def __init__(self, source: str, template: frozenset[int] = frozenset()):
         self.template = template
         self.stack: list[list] = [["", "", False, [], False, 0, False]]  # tag, names, dropped, digests, inside the main article, first block, around an article
+        self.best = 0  # the best zone with text, template or not
+        self.inner: list[list[int]] = []  # hashes inside each open article or main
         self.blocks: list[tuple[int, str]] = []  # (0 body, 1 main, 2 article), text
         self.open: list[str] = []
         self.zone = 0
-        self.hashes: set[int] = set()
+        self.hashes: set[tuple[int, int | None]] = set()
+        self.articles: set[int] = set()
         at, n = 0, len(source)
         while at < n:
             m = TAG.search(source, at)
@@ -106,6 +111,7 @@ class Page:
             self.open = []
             if text:
                 self.blocks.append((self.zone, text))
+                self.best = max(self.best, self.zone)
 
     def _start(self, name: str, attrs: str) -> None:
         stack = self.stack
@@ -129,6 +135,7 @@ class Page:
             self._flush()
             self.zone = max(self.zone, 2 if name == "article" else 1)
             inside = True
+            self.inner.append([])
         stack.append([name, names, dropped, [], inside, len(self.blocks), False])
 
     def _close_to(self, names: frozenset[str], stops: frozenset[str]) -> None:
@@ -150,18 +157,24 @@ class Page:
         if name in BLOCK:
             self._flush()
         parent = self.stack[-1]
-        if around or (inside and name in ("article", "main")):
+        article = name in ("article", "main") and inside and not dropped
+        body = GAPS.sub(" ", "\x00".join(digests))
+        digest = xxhash.xxh64_intdigest(f"{name}\x01{names}\x01{body}".encode("utf-8", "replace"), 2 if inside else 1)
+        digest -= (digest >> 63) << 64
+        parent[3].append(str(digest))
+        if around or article:
             parent[6] = True
-        if not inside:
-            body = GAPS.sub(" ", "\x00".join(digests))
-            digest = xxhash.xxh64_intdigest(f"{name}\x01{names}\x01{body}".encode("utf-8", "replace"), 1)
-            digest -= (digest >> 63) << 64
-            parent[3].append(str(digest))
-            if name not in ("html", "body") and not around:
-                self.hashes.add(digest)
-                if digest in self.template and not dropped:
-                    self._flush()
-                    del self.blocks[first:]
+        if article:
+            self.articles.add(digest)
+            self.hashes.update((x, digest) for x in self.inner.pop())
+        elif not around and name not in ("html", "body") and (not inside or name in BLOCK):
+            if inside:
+                self.inner[-1].append(digest)
+            else:
+                self.hashes.add((digest, None))
+            if digest in self.template and not dropped:
+                self._flush()
+                del self.blocks[first:]
         if name in ("article", "main") and inside and not parent[4]:
             self._flush()
             self.zone = 0
@@ -170,8 +183,7 @@ class Page:
         return name
 
     def text(self) -> str:
-        best = max((z for z, _ in self.blocks), default=0)
-        return "\n".join(t for z, t in self.blocks if z >= best)
+        return "\n".join(t for z, t in self.blocks if z >= self.best)
 
 
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
@@ -181,6 +193,15 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
 
+def rows_of(page: Page) -> list[tuple[int | None, int | None, int]]:
+    """(subtree, article, 1 for the first row of this subtree on the page); a row without a subtree for every article."""
+    rows, seen = [(None, a, 0) for a in page.articles], set()
+    for digest, article in page.hashes:
+        rows.append((digest, article, int(digest not in seen)))
+        seen.add(digest)
+    return rows
+
+
 def site_templates(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
     """((host, digest, n) of the sites' template subtrees, (key, digest) of the pages that hold them)."""
     small_batches(pages.sparkSession)
@@ -188,16 +209,22 @@ def site_templates(pages: DataFrame, key: str = "page_id", url: str = "url", sou
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Page(s).hashes if s else set() for s in batch.column(2).to_pylist()]
+            found = [rows_of(Page(s)) if s else [] for s in batch.column(2).to_pylist()]
             sizes = [len(x) for x in found]
             which = pa.array(np.repeat(np.arange(len(found)), sizes))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array([d for x in found for d in x], pa.int64())], ["_key", "host", "digest"])
+            digest, article, first = zip(*(r for x in found for r in x)) if which else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(digest, pa.int64()), pa.array(article, pa.int64()), pa.array(first, pa.int32())], ["_key", "host", "digest", "article", "first"])
 
     kind = own.schema["_key"].dataType.simpleString()
-    seen = written(own.mapInArrow(run, f"_key {kind}, host string, digest long"))
-    sizes = own.groupBy("_host").count().select(F.col("_host").alias("host"), (F.col("count") * share).alias("least"))
-    often = written(seen.groupBy("host", "digest").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages))
-    template = written(often.join(written(sizes), "host").filter("n >= least").select("host", "digest", "n"))
+    seen = written(own.mapInArrow(run, f"_key {kind}, host string, digest long, article long, first int"))
+    # one row for each subtree in each distinct article; subtrees outside articles have the article null
+    each = written(seen.groupBy("host", "digest", "article").agg(F.sum("first").alias("pages")))
+    articles = each.filter("digest is null").groupBy("host").agg((F.count("*") * share).alias("least_articles"))
+    sizes = own.groupBy("_host").count().select(F.col("_host").alias("host"), (F.col("count") * share).alias("least")).join(articles, "host", "left")
+    often = each.filter("digest is not null").groupBy("host", "digest").agg(F.sum("pages").alias("pages"), F.count("article").alias("articles"))
+    often = often.withColumn("n", F.when(F.col("articles") > 0, F.least("pages", "articles")).otherwise(F.col("pages")))
+    often = written(often.filter((F.col("n") >= min_pages) & (F.col("pages") >= min_pages)))
+    template = written(often.join(written(sizes), "host").filter("n >= if(articles > 0, least_articles, least)").select("host", "digest", "n"))
     return template, seen.join(template.select("host", "digest"), ["host", "digest"], "left_semi").select(F.col("_key").alias(key), "digest")
 
 

@@ -89,6 +89,19 @@ def test_wrapped_articles_stay(spark):
     assert all(found[i] == f"Text {i}" and found[100 + i] == "Text copied" for i in range(9))
 
 
+def test_templates_inside_articles_go(spark):
+    """A box that recurs in many different articles, in main or article, goes; copies of an article keep it and their text."""
+    box = "<div class=join-us><p>Join our <b>club</b> today</p></div>"
+    rows = [(i, "http://a.org/", f"<article><p>Text <b>of</b> {i}</p>{box}</article>") for i in range(9)]
+    rows += [(100 + i, "http://b.org/", f"<main>{box}<div><p>Text <b>of</b> {i}</p></div></main>") for i in range(9)]
+    rows += [(200 + i, "http://copies.org/", f"<div>{i}</div><article><p>Copy</p>{box}</article>") for i in range(9)]
+    rows += [(300 + i, "http://few.org/", f"<article><p>Text of {i}</p>{box if i < 2 else ''}</article>") for i in range(9)]
+    found = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[k + i] == f"Text of {i}" for k in (0, 100) for i in range(9))
+    assert all(found[200 + i] == "Copy\nJoin our club today" for i in range(9))
+    assert found[300] == "Text of 0\nJoin our club today" and found[308] == "Text of 8"
+
+
 def test_hosts(spark):
     urls = ["https://User@WWW.Site.org:80/a?b", "//cdn.org/x", "nothing", None, "http://[::1]/"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
