@@ -1,8 +1,12 @@
-"""Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
+"""Mixing sources to target weights by iterative proportional fitting: rows in DataFrame operations only, the few cells calibrated on the driver.
 
 Token counts are summed over cells of source, language and topic; the cells' shares are raked in turn to each target
 marginal, ``ROUNDS`` times round; a document's chance of being drawn is its cell's share of the wanted tokens over the
-cell's tokens, at most 1; it is drawn if a hash of its id, as a number in [0, 1), is below that.
+cell's tokens; it is drawn if a hash of its id, as a number in [0, 1), is below that.
+
+A cell cannot supply more than it has. ``calibrate`` therefore rakes with full cells held full, and lowers the rate to
+the largest at which the expected draw meets every marginal; ``mix`` without ``calibrated`` cuts chances at 1 instead, as the
+SQL of ``op6_mixing`` does, and then misses marginals that ask for more than there is. ``marginals`` reports what is reached.
 
 Categories are those that the targets name and ``other`` for all the rest, so the cells are at most the product of
 the targets' lengths: their size is bounded by the specification, whatever the data, and they alone are sent to tasks.
@@ -15,6 +19,7 @@ that repeat an id are drawn alike.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,21 +69,97 @@ def mix_weights(df: DataFrame, columns: dict[str, Column], tokens: Column, targe
     return cells.withColumn("share", F.when(everything > 0, F.col("share") / everything).otherwise(0.0)).select(*dims, "tokens", "share")
 
 
+def _capped(supply: np.ndarray, groups: list[tuple[int, np.ndarray, float]], dims: int, rounds: int = 1000) -> np.ndarray | None:
+    """What to draw from each cell: raked to the groups' goals in tokens, no cell above its supply; None if that does not converge. Each step scales one category so that its cells, full ones held full, add up to its goal."""
+    factor = np.ones((dims, len(supply)))
+    drawn = supply
+    for _ in range(rounds):
+        for d, at, goal in groups:
+            own = supply[at]
+            x = own * np.delete(factor, d, 0)[:, at].prod(0)
+            on = np.flatnonzero(x > 0)
+            if goal <= 0:
+                factor[d, at] = 0
+                continue
+            if own[on].sum() < goal * (1 - 1e-12):
+                return None
+            on = on[np.argsort(own[on] / x[on], kind="stable")]
+            full = np.concatenate([[0.0], np.cumsum(own[on])[:-1]])
+            left = np.cumsum(x[on][::-1])[::-1]
+            scale = (goal - full) / left
+            fits = np.flatnonzero(scale <= own[on] / x[on] * (1 + 1e-12))
+            factor[d, at] = scale[fits[0]] if len(fits) else own[on[-1]] / x[on[-1]]
+        drawn = np.minimum(supply, supply * factor.prod(0))
+        if max(abs(drawn[at].sum() - goal) for _, at, goal in groups) < 1e-7 * max(1.0, drawn.sum()):
+            return drawn
+    return None
+
+
+def calibrate(cells: DataFrame, targets: dict[str, dict[str, float]], rate: float) -> DataFrame:
+    """``cells`` of ``mix_weights`` with weight (share of the draw) and probability instead of share. The draw meets the targets at the largest rate up to ``rate`` that the cells can supply. Targets that contradict each other at every rate keep the raked shares, at the largest rate at which no chance is above 1."""
+    dims = list(targets)
+    rows = cells.orderBy(*dims).collect()  # at most the product of the targets' lengths
+    supply = np.array([float(x["tokens"]) for x in rows])
+    total = supply.sum()
+    groups = []
+    for i, d in enumerate(dims):
+        names = np.array([x[d] for x in rows], dtype=object)
+        found = [(np.flatnonzero(names == k), float(v)) for k, v in targets[d].items()]
+        found = [(at, v) for at, v in found if supply[at].sum() > 0]
+        whole = sum(v for _, v in found)
+        groups += [(i, at, v / whole if whole > 0 else 0.0) for at, v in found]
+    drawn = np.zeros(len(rows))
+    if total > 0 and rate > 0 and all(any(v > 0 for i, _, v in groups if i == d) for d in range(len(dims))):
+        at_rate = lambda x: _capped(supply, [(i, at, v * x * total) for i, at, v in groups], len(dims))
+        high = min(rate, 1.0, *(supply[at].sum() / (v * total) for _, at, v in groups if v > 0))
+        best = at_rate(high)
+        low = 0.0
+        if best is None:
+            for _ in range(16):
+                mid = (low + high) / 2
+                got = at_rate(mid)
+                low, high, best = (mid, high, got) if got is not None else (low, mid, best)
+        if best is None:
+            share = np.array([float(x["share"]) for x in rows])
+            fill = max((share[supply > 0] * total / supply[supply > 0]).max(initial=0.0), 1e-300)
+            best = share * total * min(rate, 1 / fill)
+        drawn = best
+    chance = np.where(supply > 0, np.minimum(1.0, drawn / np.maximum(supply, 1.0)), 1.0 if rate > 0 else 0.0)
+    weight = drawn / (drawn.sum() or 1.0)
+    data = [(*(x[d] for d in dims), x["tokens"], float(w), float(c)) for x, w, c in zip(rows, weight, chance)]
+    return cells.sparkSession.createDataFrame(data, ", ".join(f"`{d}` string" for d in dims) + ", tokens long, weight double, probability double")
+
+
+def marginals(mixed: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(dim, category, target, expected, drawn): shares of the tokens of a mixture that ``mix`` returned, as wanted, by the chances, and as selected."""
+    targets = targets or TARGETS
+    cells = mixed.groupBy(*(f"{d}_group" for d in targets)).agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col("probability")).alias("e"), F.sum(F.when(F.col("selected"), F.col("n_tokens")).otherwise(0)).alias("s"))
+    kinds = F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(f"{d}_group").alias("category")) for d in targets)))
+    sums = cells.select(kinds.alias("k"), "e", "s").groupBy("k.dim", "k.category").agg(F.sum("e").alias("e"), F.sum("s").alias("s"))
+    goal = F.create_map(*(x for d in targets for k, v in targets[d].items() for x in (F.lit(f"{d}={k}"), F.lit(float(v)))))
+    w = Window.partitionBy("dim")
+    return sums.select("dim", "category", goal[F.concat("dim", F.lit("="), "category")].alias("target"), (F.col("e") / F.sum("e").over(w)).alias("expected"), (F.col("s") / F.sum("s").over(w)).alias("drawn"))
+
+
 def uniform(key: Column, seed: str) -> Column:
     """A number in [0, 1) from 52 bits of the md5 of seed and key."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
-    """``df`` with n_tokens, source_group, lang_group, topic_group, weight (the cell's share of the mixture), probability and selected. ``rate`` is the wanted part of all tokens."""
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE, rounds: int = ROUNDS, seed: str = SEED, calibrated: bool = True) -> DataFrame:
+    """``df`` with n_tokens, source_group, lang_group, topic_group, weight (the cell's share of the mixture), probability and selected. ``rate`` is the wanted part of all tokens, the most that is drawn."""
     targets = targets or TARGETS
     columns = {"source": F.col(source), "lang": F.col(lang), "topic": form_of(F.col(text)) if topic is None else topic}
     n = free_name(df, "_n")
     df = df.withColumn(n, tokens_of(F.col(text)))
     cells = mix_weights(df, columns, F.col(n), targets, rounds)
-    whole = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
-    chance = F.when(F.col("tokens") == 0, F.when(F.lit(rate) > 0, 1.0).otherwise(0.0)).otherwise(F.least(F.lit(1.0), F.lit(rate) * whole * F.col("share") / F.col("tokens")))
-    cells = cells.select(*(F.col(d).alias(f"_{d}_group") for d in targets), F.col("share").alias("weight"), chance.alias("probability"))
+    if calibrated:
+        cells = calibrate(cells, targets, rate)
+    else:
+        whole = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
+        chance = F.when(F.col("tokens") == 0, F.when(F.lit(rate) > 0, 1.0).otherwise(0.0)).otherwise(F.least(F.lit(1.0), F.lit(rate) * whole * F.col("share") / F.col("tokens")))
+        cells = cells.select(*targets, F.col("share").alias("weight"), chance.alias("probability"))
+    cells = cells.select(*(F.col(d).alias(f"_{d}_group") for d in targets), "weight", "probability")
     rows = df.select(*df.columns, *(_category(columns[d], targets[d]).alias(f"{d}_group") for d in targets))
     joined = rows.join(F.broadcast(cells), [F.col(f"{d}_group") == F.col(f"_{d}_group") for d in targets]).drop(*(f"_{d}_group" for d in targets))
     return joined.withColumn("selected", uniform(F.col(key), seed) < F.col("probability")).withColumnRenamed(n, "n_tokens")

@@ -244,6 +244,17 @@ def test_mixing_meets_targets(spark):
     mixed.unpersist()
 
 
+def test_mixing_meets_targets_that_exceed_a_cell(spark):
+    """src0 has a tenth of the tokens and is wanted as half of a half: the rate goes down, not the share."""
+    rows_ = [(i, "w " * (1 + i // 10 % 7), "en" if i // 10 % 3 else "de", "src0" if i % 10 == 0 else "x", None) for i in range(4000)]
+    targets = {"source": {"src0": 0.5, "other": 0.5}, "lang": {"en": 0.7, "other": 0.3}, "topic": {"prose": 1.0, "other": 0.0}}
+    mixed = mixing.mix(spark.createDataFrame(rows_, SCHEMA), targets=targets, rate=0.5)
+    for r in mixing.marginals(mixed, targets).collect():
+        assert r.expected == pytest.approx(r.target, abs=1e-4) and r.drawn == pytest.approx(r.target, abs=0.05)
+    n = mixed.agg(F.max("probability"), F.sum(F.col("n_tokens") * F.col("probability")) / F.sum("n_tokens")).first()
+    assert n[0] <= 1 and 0.15 < n[1] <= 0.2
+
+
 def test_mixing_odd_rows(odd, none):
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(none).count() == 0
 
