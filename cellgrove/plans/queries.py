@@ -405,6 +405,18 @@ def min_upper_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.min_upper_bound(keys, read(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0"), "l_orderkey", "o_orderkey").filter("o_orderkey is not null")
 
 
+@query("SELECT l_extendedprice, k AS o_totalprice FROM lineitem l ASOF LEFT JOIN (SELECT o_totalprice AS k FROM orders) o ON l.l_extendedprice >= o.k")
+def max_lower_bound_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Looked up in all orders; null where no order is as cheap."""
+    return order.max_lower_bound(read(spark, sf_dir, "lineitem").select("l_extendedprice"), read(spark, sf_dir, "orders"), "l_extendedprice", "o_totalprice")
+
+
+@query("SELECT price, k AS o_totalprice FROM (SELECT l_extendedprice * 8 AS price FROM lineitem) l ASOF LEFT JOIN (SELECT o_totalprice AS k FROM orders) o ON l.price < o.k")
+def min_upper_bound_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Looked up in all orders; null where no order is dearer."""
+    return order.min_upper_bound(read(spark, sf_dir, "lineitem").select(F.expr("l_extendedprice * 8").alias("price")), read(spark, sf_dir, "orders"), "price", "o_totalprice")
+
+
 @query(f"WITH {TREE}, {RANGES} SELECT lev, x0, x1 FROM ranges WHERE part = 3")
 def prune_to_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.prune_to_part(leaves(spark, sf_dir), G, 3, PARTS)
