@@ -225,22 +225,43 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """(key, fingerprint as a long, component_id) of every row."""
-    prints = written(fingerprints(df.select(key, text), text, "_fp", shingle))
+def _named(rows: DataFrame, key: str, text: str, shingle: int, budget: int) -> DataFrame:
+    """``rows`` without ``text``, with _fp, _root (which tells the component) and component_id."""
+    prints = written(fingerprints(rows, text, "_fp", shingle))
     least = written(prints.groupBy("_fp").agg(F.min(key).alias("_least")))
     group = written(components(links(least.select(F.col("_fp").alias("fp")), budget)))
     smallest = written(group.join(least, group.node == least._fp).groupBy("root").agg(F.min("_least").alias("_component")))
-    named = written(group.join(smallest, "root").select(F.col("node").alias("_fp"), "_component"))
-    ids = written(least.join(named, "_fp", "left").select("_fp", F.coalesce("_component", "_least").alias("component_id")))
-    return prints.join(ids, "_fp").select(key, F.col("_fp").alias("fingerprint"), "component_id")
+    named = written(group.join(smallest, "root").select(F.col("node").alias("_fp"), F.col("root").alias("_root"), "_component"))
+    ids = written(least.join(named, "_fp", "left").select("_fp", F.coalesce("_root", "_fp").alias("_root"), F.coalesce("_component", "_least").alias("component_id")))
+    return prints.join(ids, "_fp")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """(key, fingerprint as a long, component_id) of every row."""
+    return _named(df.select(key, text), key, text, shingle, budget).select(key, F.col("_fp").alias("fingerprint"), "component_id")
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """The rows of ``df`` with the smallest id of their component. Rows that repeat an id are one document, of which one row stays; rows without an id all stay."""
-    found = near_duplicates(df.filter(F.col(key).isNotNull()), key, text, shingle, budget)
-    gone = written(found.filter(F.col(key) != F.col("component_id")).select(key).distinct())
-    return df.join(gone, key, "left_anti").select(*df.columns)
+    """One row of ``df`` of each component: of the smallest id (null only if all are), then of the least text hash. It is decided by row: other texts under an id that is dropped in one component stay if they are their own component's. Of rows with the same id and text the one with the least hash of all columns stays."""
+    hashes = {"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), F.col(text))}
+    found = written(_named(df.select(key, text, *(c.alias(n) for n, c in hashes.items())), key, text, shingle, budget).select("_root", F.col(key).alias("_id"), *hashes))
+    rank = F.struct(F.col("_id").isNull().alias("_none"), "_id", *hashes)
+    best = written(found.groupBy("_root").agg(F.min(rank).alias("_best")).select("_root", "_best.*"))
+    chosen = best.select("_root", F.col("_id").alias("_b"), F.col("_h1").alias("_b1"), F.col("_h2").alias("_b2"))
+    each = found.join(chosen, "_root").withColumn("_stays", F.col("_id").eqNullSafe(F.col("_b")) & (F.col("_h1") == F.col("_b1")) & (F.col("_h2") == F.col("_b2")))
+    gone = written(each.filter("not _stays").select("_id", *hashes).distinct())
+    again = written(each.filter("_stays").groupBy("_id", *hashes).count().filter("count > 1").select("_id", *hashes))
+
+    def same(other: DataFrame) -> Column:
+        return F.col(key).eqNullSafe(other["_id"]) & (hashes["_h1"] == other["_h1"]) & (hashes["_h2"] == other["_h2"])
+
+    kept = df.join(gone, same(gone), "left_anti")
+    if again.isEmpty():
+        return kept.select(*df.columns)
+    row = F.struct(*(F.col(c) for c in df.columns))
+    order = F.struct(F.xxhash64(F.to_json(row)), F.xxhash64(F.lit(1), F.to_json(row)))
+    one = kept.join(again, same(again), "left_semi").groupBy(F.col(key).alias("_id"), *(c.alias(n) for n, c in hashes.items())).agg(F.min_by(row, order).alias("_row"))
+    return kept.join(again, same(again), "left_anti").select(*df.columns).unionByName(one.select("_row.*"))
 
 
 def hex_of(fp: Column) -> Column:

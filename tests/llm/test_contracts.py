@@ -339,6 +339,15 @@ def test_simhash_odd_rows(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.deduplicate(none).count() == 0
 
 
+def test_deduplicate_decides_by_row(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(4)]
+    rows_ = [(1, texts[0], "en", "a", 1), (1, texts[0], "en", "a", 1), (1, texts[0], "de", "b", 1), (5, texts[0], "en", "a", 1), (5, texts[1], "en", "a", 1), (6, texts[1], "en", "a", 1), (None, texts[2], "en", "a", 1), (None, texts[2], "en", "a", 1), (None, texts[3], "en", "a", 1), (None, texts[1], "en", "a", 1)]
+    kept = [simhash.deduplicate(spark.createDataFrame(x, SCHEMA)).collect() for x in (rows_, rows_[::-1])]
+    assert sorted((str(r.doc_id), r.text) for r in kept[0]) == sorted([("1", texts[0]), ("5", texts[1]), ("None", texts[2]), ("None", texts[3])])
+    assert sorted(map(repr, kept[0])) == sorted(map(repr, kept[1]))
+
+
 # ---- classifiers
 
 
