@@ -1,10 +1,14 @@
 import hashlib
 import struct
+import time
 import zlib
+from html.parser import HTMLParser
 
 import pytest
 
-from cellgrove.llm import html_text, matroska
+from cellgrove.llm import html_text, matroska, queries
+from cellgrove.llm.common import table
+from tests.conftest import SF
 
 
 @pytest.mark.parametrize("lacing", ["auto", "none", "xiph", "ebml"])
@@ -60,7 +64,7 @@ three<p>Four&nbsp;five<br>six<div class="share">Share this</div><ul><li>x<li>y</
 
 
 def test_main_text():
-    assert html_text.Page(PAGE).text().split("\n") == ["A & B", "One two three", "Four five six", "x", "y"]
+    assert html_text.Page(PAGE).text().split("\n") == ["A & B", "One two three", "Four five six", "Share this", "x", "y"]  # inside an article only counts find boxes
     assert html_text.Page("<p>no article<p>here").text() == "no article\nhere"
     assert html_text.Page("<main>kept</main>dropped").text() == "kept"
     assert html_text.Page("<div class=page-header>Site</div><article><div class='entry-header'><h2>Own</h2></div><p class=ad-box>Ad</p>x</article>").text() == "Own\nx"
@@ -102,6 +106,96 @@ def test_templates_inside_articles_go(spark):
     assert found[300] == "Text of 0\nJoin our club today" and found[308] == "Text of 8"
 
 
+def test_templates_under_neutral_names(spark):
+    """Only the counts can tell these boxes from the text; a page given five times is one page."""
+    page = lambda i: f"<div class=a1><p>Home of {'many' if i % 2 else 'all'} things</p></div><div class=b2><p>Text {i} begins</p><p>and ends {i}.</p></div><div class=c3>Last words</div>"
+    rows = [(i, "http://a.org/", page(i)) for i in range(12)]
+    rows += [(100 + i, "http://b.org/", page(100 + i % 10 if i < 10 else 100)) for i in range(14)]
+    found = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"Text {i} begins\nand ends {i}." for i in range(12))
+    assert all(found[100 + i] == f"Text {100 + i} begins\nand ends {100 + i}." for i in range(10)) and all(found[110 + i] == found[100] for i in range(4))
+
+
+def test_near_copies_of_articles_keep_their_text(spark):
+    """Articles that share most of their paragraphs are copies of one another, not pages of one template."""
+    page = lambda i: "<article>" + "".join(f"<p>Paragraph {k} of the article{' and more ' + str(i) if k == i % 5 else ''}.</p>" for k in range(8)) + "</article>"
+    found = [r.text for r in html_text.main_text(spark.createDataFrame([(i, "http://a.org/", page(i)) for i in range(20)], "page_id long, url string, html string")).collect()]
+    assert all(len(t.split("\n")) == 8 for t in found)
+
+
+def test_odd_markup():
+    text = lambda s: html_text.Page(s).text()
+    assert text("<article><p title=it's>one</p><p class=legal>two</p><p>it's three</article>") == "one\ntwo\nit's three"
+    assert text("<main><h1>Title</h1><p>Intro</p><article>card</article></main>") == "Title\nIntro\ncard"
+    assert text('<p title="x>y</p>abc') == "y\nabc" and text("<p a='>'b>x") == "x" and text("<p =a b==c>x<br/>y</p/>z") == "x y\nz"
+    assert text("</>a</ b><3 <!x>c<?y>d<!--e>f-->g<!--h") == "a</ b><3 cdg"
+    for page in ("<a " * 350_000, "<b><hr>" * 150_000, "<p><object>" + "<b><hr>" * 100_000, "<script>" + "</script " * 100_000, "<div>" * 100_000 + "x", "<i a='" * 100_000, "</b" * 300_000, "<" * 500_000):
+        began = time.perf_counter()
+        text(page)
+        assert time.perf_counter() - began < 10, page[:20]
+
+
+class Reference(HTMLParser):
+    """Texts of the article by the library's parser: blocks of h1 and p, nothing else stands in the test pages' articles."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.on, self.blocks = False, [""]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.on |= tag == "article"
+        if tag in ("h1", "p"):
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        if tag in ("h1", "p", "article"):
+            self.blocks.append("")
+        self.on &= tag != "article"
+
+    def handle_data(self, data):
+        if self.on:
+            self.blocks[-1] += data
+
+    def text(self):
+        return "\n".join(b for b in (" ".join(x.split()) for x in self.blocks) if b)
+
+
+def test_query_on_all_pages(spark):
+    found = {r.page_id: r for r in queries.op9_html(spark, SF).collect()}
+    pages = table(spark, SF, "pages").collect()
+    assert len(found) == len(pages)
+    for p in pages:
+        assert found[p.page_id].text == Reference(p.html).text() and found[p.page_id].n_chars == len(found[p.page_id].text)
+
+
+def test_pages_odd_rows(spark):
+    page = lambda i: f"<div>Recurs</div><div>Own {i}</div>"
+    rows = [(None, "http://a.org/", page(i)) for i in range(4)] + [(7, "http://a.org/", page(i)) for i in range(4, 8)] + [(7, "http://a.org/", page(7)), (8, None, None), (8, "http://a.org/", "<p>" + "long " * 200_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS digest", "2 AS host", "3 AS _template", "4 AS _html", "5 AS body", "6 AS text")
+    found = sorted((str(r.page_id), r.text[:9]) for r in html_text.main_text(df).collect())
+    assert found == sorted([("None", f"Own {i}") for i in range(4)] + [("7", f"Own {i}") for i in (4, 5, 6, 7, 7)] + [("8", ""), ("8", "long long")])
+
+
+def test_media_query(spark):
+    """Every column of the query, the feature too, from the bytes."""
+    rows = table(spark, SF, "documents").collect()
+    found = {r.doc_id: r for r in queries.op8_media(spark, SF).collect()}
+    assert len(found) == len(rows)
+    for r in rows:
+        raw = (r.text or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        got, media = found[r.doc_id], matroska.write_matroska(payload)
+        assert (got.media_sha256, got.media_bytes, got.n_bytes) == (hashlib.sha256(media).hexdigest(), len(media), len(raw))
+        said = dict(x.split("=") for x in got.feature.split(";"))
+        high = [b >= 128 for b in payload]
+        assert int(said["sum"]) == sum(payload) and int(said["step2"]) == sum((a - b) ** 2 for a, b in zip(payload, payload[1:])) and int(said["crossings"]) == sum(a != b for a, b in zip(high, high[1:]))
+        assert int(said["ms"]) == len(payload) * 1000 // 8000 and int(said["packets"]) == len(matroska.read_matroska(media)["packets"])
+
+
 def test_hosts(spark):
     urls = ["https://User@WWW.Site.org:80/a?b", "//cdn.org/x", "nothing", None, "http://[::1]/"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
