@@ -54,7 +54,7 @@ INNER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsored|comments?|d
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 #: One step over markup; possessive throughout, so that no text makes it go back.
-TAG = re.compile(r"""<(?:!--(?:.*?-->|.*)|[!?][^>]*+(?:>|$)|(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)*+)(?:>|$))""", re.S)
+TAG = re.compile(r"""<(?:!--(?:.*?-->|.*)|(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|$)|(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)*+)(?:>|$))""", re.S)
 ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?+)?+""")
 GAPS = re.compile(r"\s+")
 

@@ -128,7 +128,7 @@ def test_odd_markup():
     assert text("<article><p title=it's>one</p><p class=legal>two</p><p>it's three</article>") == "one\ntwo\nit's three"
     assert text("<main><h1>Title</h1><p>Intro</p><article>card</article></main>") == "Title\nIntro\ncard"
     assert text('<p title="x>y</p>abc') == "y\nabc" and text("<p a='>'b>x") == "x" and text("<p =a b==c>x<br/>y</p/>z") == "x y\nz"
-    assert text("</>a</ b><3 <!x>c<?y>d<!--e>f-->g<!--h") == "a</ b><3 cdg"
+    assert text("</>a</ b><3 <!x>c<?y>d<!--e>f-->g<!--h") == "a<3 cdg"
     for page in ("<a " * 350_000, "<b><hr>" * 150_000, "<p><object>" + "<b><hr>" * 100_000, "<script>" + "</script " * 100_000, "<div>" * 100_000 + "x", "<i a='" * 100_000, "</b" * 300_000, "<" * 500_000):
         began = time.perf_counter()
         text(page)
