@@ -5,15 +5,17 @@ embedding table; a document is the average of its words' bags; two softmax outpu
 are trained together by Adam. Misspellings never seen share n-grams with words that were. After training the outputs
 are folded into the table: a row then adds one number to the log-odds, so that scoring needs one small vector.
 
-Only rows of the table are trained that enough training documents have and whose presence depends on the label; all
-others stay zero, so clean words add nothing, however many there are.
+Every row of the table that a training document has is trained, with weight decay. A row counts in its bags by the evidence that its
+presence depends on the label: chi-square of the four counts of documents over ``EVIDENCE``, at most 1, to the power ``SHARPNESS``. The null
+distribution of chi-square is the same at every sample size, so chance rows stay faint however many there are, and rare
+toxic words are learned as far as their documents bear them out.
 
 The classifier is fitted on a bounded sample of labelled rows: at most about ``SAMPLE`` documents of each label, drawn
-by a hash of the id, and of a long document at most ``TRAIN_WORDS`` words, taken in evenly spaced stretches. The log-odds are then
-corrected for the drawing. Scoring covers every word of every text.
+by a hash of the id, each with its whole text. The log-odds are then corrected for the drawing. Scoring covers every word of every text.
 
 Defined results: null or empty texts, and texts without words, get the share of label 1 among the labelled rows; if
-one label has no rows the score is that share everywhere. Labels may repeat an id: the largest counts. Rows with equal texts get equal scores.
+one label has no rows the score is that share everywhere. A label above 0 is toxic, others are not; labels may repeat an
+id: the largest counts; labels without an id and null labels are left out. Rows with equal texts get equal scores.
 """
 
 from __future__ import annotations
@@ -29,11 +31,10 @@ from pyspark.sql import functions as F
 
 from cellgrove.llm.common import runs, small_batches, texts_of
 
-SAMPLE, TRAIN_WORDS = 3000, 4000
-BUCKETS, DIM, SIZES = 1 << 17, 8, (3, 4, 5)
-EPOCHS, RATE, SEED = 80, 0.1, 7
-#: A row of the table is trained if it is in so many training documents and its presence depends on the label: chi-square of the four counts, over a floor and a share of the documents.
-MIN_DOCS, MIN_CHI, CHI_SHARE = 4, 12.0, 0.012
+SAMPLE = 3000
+BUCKETS, DIM, SIZES = 1 << 17, 4, (3, 4, 5)
+EPOCHS, RATE, DECAY, SEED = 40, 0.05, 0.3, 7
+EVIDENCE, SHARPNESS = 30.0, 3
 
 #: Words whose sums a worker keeps at a time, and bytes of text that it scores together.
 CACHE, TOGETHER = 300_000, 2 << 20
@@ -99,30 +100,28 @@ class Bags:
         return self._sum(self.back, x, self.shape[1])
 
 
-def _telling(rows: np.ndarray, starts: np.ndarray, docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Rows of the table that are worth training, from how many documents of each label have them."""
-    ends = np.append(starts[1:], len(rows))
+def evidence(rows: np.ndarray, sizes: np.ndarray, docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The weight of every row of the table, 0 to 1, from how many documents of each label have it."""
+    starts = np.cumsum(sizes) - sizes
     seen = np.zeros((2, BUCKETS))
     for words, label in zip(docs, labels):
-        size = (ends - starts)[words]
+        size = sizes[words]
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[words], size)
         seen[label, np.unique(rows[at])] += 1
     n0, n1 = (labels == 0).sum(), (labels == 1).sum()
     a, b = seen[1], seen[0]
     c, d = n1 - a, n0 - b
     chi = (a * d - b * c) ** 2 * (n0 + n1) / np.maximum((a + b) * (c + d) * n0 * n1, 1)
-    fit_ = (a + b >= MIN_DOCS) & (chi >= max(MIN_CHI, CHI_SHARE * (n0 + n1)))
-    return np.flatnonzero(fit_) if fit_.any() else np.argsort(-chi, kind="stable")[:100]
+    return np.minimum(1, chi / EVIDENCE) ** SHARPNESS
 
 
-def train(documents: Iterable[list[bytes]], labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """The folded model: what each row of the table adds to a document's log-odds, and the bias. Documents are taken one by one and kept as numbers."""
+def train(documents: Iterable[tuple[list[bytes], np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """The folded model: what each row of the table adds to a document's log-odds, and the bias. Documents are their distinct words and how often each comes; they are taken one by one and kept as numbers."""
     number: dict[bytes, int] = {}
     own, times = [], []
-    for words in documents:
-        c = Counter(words)
-        own.append(np.fromiter((number.setdefault(x, len(number)) for x in c), np.int32, len(c)))
-        times.append(np.fromiter(c.values(), np.float32, len(c)))
+    for words, n in documents:
+        own.append(np.fromiter((number.setdefault(x, len(number)) for x in words), np.int32, len(words)))
+        times.append(np.asarray(n, np.float32))
     vocabulary = list(number)
     parts = [grams(vocabulary[i : i + 50_000]) for i in range(0, len(vocabulary), 50_000)] or [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     ends = np.cumsum([0, *(len(r) for r, _ in parts)])
@@ -130,26 +129,21 @@ def train(documents: Iterable[list[bytes]], labels: np.ndarray) -> tuple[np.ndar
     starts = np.concatenate([s + e for (_, s), e in zip(parts, ends)])
     del parts, number
     sizes = np.diff(np.append(starts, len(rows)))
-    d = np.repeat(np.arange(len(own)), [len(x) for x in own])
-    w, n = np.concatenate(own), np.concatenate(times)
     total = np.array([max(1.0, float(x.sum())) for x in times])
-    used = _telling(rows, starts, own, labels)
-    place = np.full(BUCKETS, -1)
-    place[used] = np.arange(len(used))
-    word_of = np.repeat(np.arange(len(vocabulary)), sizes)
-    some = place[rows] >= 0
-    words = Bags(word_of[some], place[rows[some]], 1.0 / sizes[word_of[some]], (len(vocabulary), len(used)))
-    has = np.zeros(len(vocabulary), bool)
-    has[word_of[some]] = True
-    texts = Bags(d[has[w]], w[has[w]], (n / total[d])[has[w]], (len(own), len(vocabulary)))
+    weight = evidence(rows, sizes, own, labels)
+    used, place = np.unique(rows, return_inverse=True)
+    word_of = np.repeat(np.arange(len(vocabulary), dtype=np.int32), sizes)
+    words = Bags(word_of, place.astype(np.int32), (weight[rows] / sizes[word_of]).astype(np.float32), (len(vocabulary), len(used)))
+    del word_of, rows, place
+    d = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])
+    texts = Bags(d, np.concatenate(own), (np.concatenate(times) / total[d]).astype(np.float32), (len(own), len(vocabulary)))
 
     rng = np.random.default_rng(SEED)
-    table = rng.normal(0, 0.05, (len(used), DIM)).astype(np.float32)
+    table = rng.normal(0, 0.01, (len(used), DIM)).astype(np.float32)
     top = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    # averages of few telling parts among many are small: a fixed factor sets the pace of learning
-    share = texts(words(np.ones((len(used), 1), np.float32)))
-    scale = np.float32(1 / max(1e-6, float(share[labels == 1].mean())))
+    # a factor that makes the average of a usual document about the sum of its words sets the pace of learning
+    scale = np.float32(np.median(total))
     params = [table, top, bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     truth = np.eye(2, dtype=np.float32)[labels]
@@ -158,28 +152,20 @@ def train(documents: Iterable[list[bytes]], labels: np.ndarray) -> tuple[np.ndar
         z = hidden @ top + bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        g = (p - truth) / len(truth)
-        slopes = [words.transposed(texts.transposed(g @ top.T * scale)), hidden.T @ g, g.sum(0)]
+        g = p - truth
+        slopes = [words.transposed(texts.transposed(g @ top.T * scale)) + DECAY * table, hidden.T @ g + 0.1 * top, g.sum(0)]
         for x, s, (m, v) in zip(params, slopes, moments):
             m += 0.1 * (s - m)
             v += 0.01 * (s * s - v)
             x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
     odds = np.zeros(BUCKETS, np.float32)
-    odds[used] = table @ (top[:, 1] - top[:, 0]) * scale
+    odds[used] = table @ (top[:, 1] - top[:, 0]) * scale * weight[used]
     return odds, float(bias[1] - bias[0])
 
 
-def _excerpt(words: list[bytes]) -> list[bytes]:
-    """All words, or of a longer document ``TRAIN_WORDS`` in evenly spaced stretches of 100."""
-    if len(words) <= TRAIN_WORDS:
-        return words
-    starts = np.linspace(0, len(words) - 100, TRAIN_WORDS // 100).astype(int)
-    return [w for s in starts for w in words[s : s + 100]]
-
-
 def fit(documents: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[np.ndarray, float, float]:
     """Trains on labelled rows for which ``learn`` (a condition on ``key``) holds. (the table's odds, bias, share of label 1)."""
-    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & learn).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("_label"))
+    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & learn).groupBy(key).agg(F.max((F.col(label) > 0).cast("int")).alias("_label"))
     n = {r._label: r["count"] for r in known.groupBy("_label").count().collect()}
     share = n.get(1, 0) / max(1, sum(n.values()))
     if not n.get(0) or not n.get(1):
@@ -191,15 +177,17 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b" ".join(_excerpt(words_of(t))) for t in texts_of(batch.column(2))], pa.binary())], ["key", "label", "words"])
+            counts = [sorted(Counter(words_of(t)).items()) for t in texts_of(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[w for w, _ in c] for c in counts], pa.list_(pa.binary())), pa.array([[n for _, n in c] for c in counts], pa.list_(pa.int32()))], ["key", "label", "words", "times"])
 
     kind = drawn.schema["_key"].dataType.simpleString()
+    # at most about 2 SAMPLE ids
     own = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_key").select("_key", "_label", "_text")
-    found = own.mapInArrow(run, f"key {kind}, label int, words binary").toArrow().sort_by([("key", "ascending"), ("words", "ascending")])
+    found = own.mapInArrow(run, f"key {kind}, label int, words array<binary>, times array<int>").withColumn("order", F.xxhash64("words", "times")).toArrow().sort_by([("key", "ascending"), ("order", "ascending")])
     y = found["label"].to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
         return np.zeros(BUCKETS, np.float32), 0.0, share
-    odds, bias = train((x.as_py().split() for x in found["words"]), y)
+    odds, bias = train(((x.as_py(), t.values.to_numpy()) for x, t in zip(found["words"], found["times"])), y)
     return odds, bias - float(np.log(part[1] / part[0])), share
 
 

@@ -392,5 +392,36 @@ def test_toxicity(spark, odd, none):
     found = toxicity.score(odd, model).collect()
     assert len(found) == odd.count() and all(0 <= r.score <= 1 for r in found)
     assert toxicity.score(none, model).count() == 0
+    other = toxicity.fit(docs, labels.withColumn("toxic", F.when(F.col("toxic") == 1, 2).otherwise(-1)), residue("doc_id", 4) != 2)
+    assert np.allclose(other[0], model[0]) and other[1:] == pytest.approx(model[1:])
     flat = toxicity.fit(docs, labels.filter("toxic = 0"), F.lit(True))
     assert {r.score for r in toxicity.score(odd, flat).collect()} == {0.0}
+
+
+def test_rare_toxic_words_count(spark):
+    """Twenty toxic words, each in 4 of 2,000 training documents only, and a clean document of the same length: most are found again, misspelt too."""
+    rng = np.random.default_rng(3)
+    word = lambda k: "".join(rng.choice(list("abcdeimnorst"), k))
+    words, bad = [word(5) for _ in range(600)], ["x" + word(4) + "qu" + word(3) for _ in range(20)]
+    clean = lambda: " ".join(rng.choice(words, 40))
+    data = [(i, clean() + (" " + bad[i // 25] if i % 25 < 4 and i < 500 else "")) for i in range(2000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 25 < 4 and i < 500)) for i in range(2000)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    new = spark.createDataFrame([(i, clean() + " " + (bad[i] if i < 20 else bad[i - 20][:-1] + "z" if i < 40 else "")) for i in range(140)], "doc_id long, text string")
+    found = {r.doc_id: r.score >= 0.3 for r in toxicity.score(new, model).collect()}
+    assert sum(found[i] for i in range(20)) >= 16 and sum(found[i] for i in range(20, 40)) >= 12 and sum(found[i] for i in range(40, 140)) <= 5
+
+
+def test_toxicity_query(spark):
+    """The whole query at sf0.01: every document, the score of an equal text equal, held-out documents told apart."""
+    sample = "/root/testdata/sf0.01"
+    docs = table(spark, sample, "documents")
+    found = {r.doc_id: r for r in queries.op1_toxicity(spark, sample).collect()}
+    assert len(found) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in found.values())
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in found.items())
+    same = {}
+    assert all(found[r.doc_id].score == same.setdefault(r.text or "", found[r.doc_id].score) for r in docs.collect())
+    out = [(found[r.doc_id].predicted, r.toxic) for r in table(spark, sample, "labels").collect() if r.doc_id in found and found[r.doc_id].held_out]
+    hit = sum(p and t for p, t in out)
+    assert hit / sum(t for _, t in out) > 0.6 and hit / max(1, sum(p for p, _ in out)) > 0.75
