@@ -2,16 +2,16 @@
 
 The likelihood of a word in a language is the product of its letter trigrams' (word ends marked, case folded),
 smoothed, from a hashed table of trigram counts by language. A document's words are drawn from a mixture of
-languages; its proportions come from expectation-maximisation over the words, and the set of languages from a
-penalised likelihood: of the nested sets of the most present 1, 2, ... ``MOST`` languages, the one with the largest
-log-likelihood less half the logarithm of the words for each language beyond the first.
+languages; its proportions come from expectation-maximisation over the words, until none moves by more than ``SETTLED``. The set of
+languages comes from a penalised likelihood, the log-likelihood less half the logarithm of the words for each language beyond the
+first: of the nested sets of the most present 1, 2, 3, ... languages, it is grown for as long as that rises.
 
-The classifier is fitted on a bounded sample of labelled rows, at most about ``SAMPLE`` documents of each of at most
-``LANGUAGES`` languages (the most frequent), drawn by a hash of the id; the counts are of whole texts. Inference
-covers every letter of every text.
+The classifier is fitted on a bounded sample of labelled rows, at most about ``SAMPLE`` documents of each language, drawn by a hash of
+the id; all labelled languages are learned, and the counts are of whole texts. Inference covers every letter of every text.
 
-Defined results: a null text or one without letters is ``und`` with score 0; with nothing to learn from, all texts
-are ``und``. Ties go to the language first in sorted order. Equal texts get equal results.
+Defined results: a null text or one without letters (Unicode's, so digits, superscripts and fractions are none) is ``und`` with
+score 0; with nothing to learn from, all texts are ``und``, and ``keep`` keeps those with a letter. Ties go to the language first in sorted
+order. Equal texts get equal results.
 """
 
 from __future__ import annotations
@@ -27,11 +27,14 @@ from pyspark.sql import functions as F
 
 from cellgrove.llm.common import small_batches
 
-SAMPLE, LANGUAGES = 6000, 200
+SAMPLE = 6000
 BUCKETS, SMOOTH = 1 << 16, 0.1
-ROUNDS, MOST = 6, 4
-CACHE = 300_000
-LETTERS = re.compile(r"[^\W\d_]+")
+SETTLED = 1e-3
+#: Words that a worker keeps and code points that it infers together, both for four languages and fewer for more.
+CACHE, TOGETHER = 300_000, 2_000_000
+#: Letters and nothing else: word characters without digits, underscores and the numbers that are no decimal digits.
+NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{re.escape(NUMBERS)}]+")
 
 
 def words_of(text: str) -> list[str]:
@@ -52,7 +55,7 @@ def fit(documents: DataFrame, learn: Column, text: str = "text", lang: str = "la
     """(languages in order, log-likelihoods by bucket and language) from labelled rows for which ``learn`` holds."""
     small_batches(documents.sparkSession)
     rows = documents.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & learn)
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     names = sorted(sizes)
     if not names:
         return [], np.zeros((BUCKETS, 0), np.float32)
@@ -99,52 +102,84 @@ class Mixtures:
 
     def infer(self, texts: list[str | None]) -> list[tuple[np.ndarray, int] | None]:
         """For each text its languages' proportions and the number of languages, or nothing if it has no letter."""
-        if len(self.number) > CACHE:
+        k = self.table.shape[1]
+        if len(self.number) > CACHE * 4 // max(4, k):
             self.number, self.rows = {}, self.rows[:0]
         counts = [Counter(words_of(t)) if t else Counter() for t in texts]
         some = [i for i, c in enumerate(counts) if c]
         out: list[tuple[np.ndarray, int] | None] = [None] * len(texts)
-        if not some or not self.table.shape[1]:
+        if not some:
+            return out
+        if not k:
+            for i in some:
+                out[i] = (np.zeros(0, np.float32), 0)
             return out
         self._numbers(list({w: None for i in some for w in counts[i]}))
         get = self.number.__getitem__
         sizes = np.array([len(counts[i]) for i in some])
         ids = np.fromiter((get(w) for i in some for w in counts[i]), np.int64, int(sizes.sum()))
-        n = np.fromiter((k for i in some for k in counts[i].values()), np.float32, len(ids))[:, None]
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        doc = np.repeat(np.arange(len(some)), sizes)
+        n = np.fromiter((c for i in some for c in counts[i].values()), np.float32, len(ids))[:, None]
         logs = self.rows[ids]
         peak = logs.max(1, keepdims=True)
         like = np.exp(logs - peak)
-        total = np.add.reduceat(n, starts)
-        base = np.add.reduceat(n * peak, starts)[:, 0]
-
-        def em(theta: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-            for _ in range(rounds):
-                r = like * theta[doc]
-                r *= n / np.maximum(r.sum(1, keepdims=True), 1e-30)
-                theta = np.add.reduceat(r, starts) / total
-            fit_ = np.log(np.maximum((like * theta[doc]).sum(1), 1e-30)) * n[:, 0]
-            return theta, base + np.add.reduceat(fit_, starts)
-
-        k = self.table.shape[1]
-        full, _ = em(np.full((len(some), k), 1 / k, np.float32), ROUNDS)
+        words = Bag(like, n, (n * peak)[:, 0], sizes)
+        full = words.settle(np.full((len(some), k), 1 / k, np.float32))
         rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
-        best = None
-        for m in range(1, min(k, MOST) + 1):
-            start = np.where(rank < m, np.maximum(full, 1e-6), 0).astype(np.float32)
-            theta, fit_ = em(start / start.sum(1, keepdims=True), ROUNDS if m > 1 else 0)
-            value = fit_ - 0.5 * np.log(np.maximum(total[:, 0], 2)) * (m - 1)
-            if best is None:
-                best = [value, theta, np.full(len(some), m)]
-            else:
-                better = value > best[0] + 1e-6
-                best = [np.where(better, value, best[0]), np.where(better[:, None], theta, best[1]), np.where(better, m, best[2])]
+        theta = (rank < 1).astype(np.float32)
+        best, chosen = words.fit(theta), np.ones(len(some), np.int64)
+        fee = 0.5 * np.log(np.maximum(words.total[:, 0], 2))
+        rising = np.arange(len(some))
+        for m in range(2, k + 1):
+            part = words.of(rising)
+            start = np.where(rank[rising] < m, np.maximum(full[rising], 1e-6), 0).astype(np.float32)
+            own = part.settle(start / start.sum(1, keepdims=True))
+            value = part.fit(own) - fee[rising] * (m - 1)
+            better = value > best[rising] + 1e-6
+            own, value, rising = own[better], value[better], rising[better]
+            if not len(rising):
+                break
+            best[rising], theta[rising], chosen[rising] = value, own, m
         for j, i in enumerate(some):
-            out[i] = (best[1][j], int(best[2][j]))
+            out[i] = (theta[j], int(chosen[j]))
         return out
 
 
+class Bag:
+    """Words of documents, one document after another: likelihoods by language (the largest is 1), how often each comes, and its log peak times that."""
+
+    def __init__(self, like: np.ndarray, n: np.ndarray, peak: np.ndarray, sizes: np.ndarray):
+        self.like, self.n, self.peak, self.sizes = like, n, peak, sizes
+        self.starts = np.cumsum(sizes) - sizes
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.total = np.add.reduceat(n, self.starts)
+
+    def of(self, docs: np.ndarray) -> Bag:
+        if len(docs) == len(self.sizes):
+            return self
+        sizes = self.sizes[docs]
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.starts[docs], sizes)
+        return Bag(self.like[at], self.n[at], self.peak[at], sizes)
+
+    def settle(self, theta: np.ndarray) -> np.ndarray:
+        """Proportions by expectation-maximisation from ``theta`` on; documents that have settled are left out of further rounds."""
+        theta, open_, part = theta.copy(), np.arange(len(theta)), self
+        while len(open_):
+            now = theta[open_]
+            share = part.like * now[part.doc]
+            share *= part.n / np.maximum(share.sum(1, keepdims=True), 1e-30)
+            new = np.add.reduceat(share, part.starts) / part.total
+            theta[open_] = new
+            moving = np.flatnonzero(np.abs(new - now).max(1) > SETTLED)
+            if len(moving) < len(open_):
+                open_, part = open_[moving], part.of(moving)
+        return theta
+
+    def fit(self, theta: np.ndarray) -> np.ndarray:
+        """Log-likelihood of each document."""
+        own = np.log(np.maximum((self.like * theta[self.doc]).sum(1), 1e-30)) * self.n[:, 0]
+        return np.add.reduceat((own + self.peak).astype(np.float64), self.starts)
+
+
 def identify(documents: DataFrame, model: tuple[list[str], np.ndarray], key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """(key, lang_pred, score, languages) of every whole text; ``score`` is the first language's proportion, ``languages`` a map of those of the chosen set.
 
@@ -154,7 +189,7 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray], key: str
     names, table = model
     sent = documents.sparkSession.sparkContext.broadcast(table)
     place = documents.columns.index(text) if keep else 1
-    step = 2_000_000
+    step = TOGETHER * 4 // max(4, len(names))
 
     def results(found: Mixtures, texts: list[str | None]) -> list:
         out, some, size = [], [], 0
@@ -173,6 +208,7 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray], key: str
             if keep:
                 yield batch.filter(pa.array([x is not None for x in got], pa.bool_()))
                 continue
+            got = [x if names else None for x in got]
             lang = ["und" if x is None else names[int(x[0].argmax())] for x in got]
             score = [0.0 if x is None else min(1.0, float(x[0].max())) for x in got]
             sets = [[] if x is None else [(names[i], float(x[0][i])) for i in np.flatnonzero(x[0] > 0)] for x in got]

@@ -376,6 +376,61 @@ def test_mixed_languages_are_told(spark):
     assert set(found[2].languages) == {"en"}
 
 
+def test_many_languages(spark):
+    """201 languages, all learned; a text in five of them; what counts as a letter; nothing to learn from."""
+    rng = np.random.default_rng(4)
+    own = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(8)] for _ in range(201)]
+    train = spark.createDataFrame([(3 * i + j, " ".join(ws), f"l{i:03}", None, None) for i, ws in enumerate(own) for j in range(3)], SCHEMA)
+    model = language.fit(train, F.lit(True))
+    assert len(model[0]) == 201
+    texts = {i: " ".join(ws * 2) for i, ws in enumerate(own)} | {1000: " ".join(w for ws in own[5:10] for w in ws * 4), 1001: "½ ² ① Ⅷ _ 12", 1002: "日", 1003: None}
+    found = {r.doc_id: r for r in language.identify(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()}
+    assert all(found[i].lang_pred == f"l{i:03}" for i in range(201))
+    assert set(found[1000].languages) == {f"l{i:03}" for i in range(5, 10)} and max(found[1000].languages.values()) < 0.3
+    assert [found[i].lang_pred for i in (1001, 1003)] == ["und", "und"] and found[1002].lang_pred != "und"
+    odd_texts = spark.createDataFrame([(1, "a"), (2, None), (3, "12")], "doc_id long, text string")
+    blank = language.fit(train.limit(0), F.lit(True))
+    assert [r.doc_id for r in language.identify(odd_texts, blank, keep=True).collect()] == [1]
+
+
+def brute_mixture(words, table, place, k):
+    """Plain expectation-maximisation over one document in double precision, and the set of languages by penalised likelihood."""
+    logs = np.array([table[[x for x in place(w)]].sum(0) for w in words], np.float64)
+
+    def em(langs):
+        t = np.zeros(k)
+        t[langs] = 1 / len(langs)
+        for _ in range(500):
+            r = np.exp(logs - logs.max(1, keepdims=True)) * t
+            t = (r / r.sum(1, keepdims=True)).mean(0)
+        return t, (np.log((np.exp(logs - logs.max(1, keepdims=True)) * t).sum(1)) + logs.max(1)).sum()
+
+    order = list(np.argsort(-em(list(range(k)))[0], kind="stable"))
+    best = None
+    for m in range(1, k + 1):
+        t, value = em(order[:m])
+        value -= 0.5 * math.log(max(2, len(words))) * (m - 1)
+        if best is not None and value <= best[1]:
+            break
+        best = (t, value, m)
+    return best
+
+
+def test_mixtures_against_brute_force(spark):
+    docs = documents(spark)
+    names, table_ = language.fit(table(spark, SF, "documents"), residue("doc_id", 4) != 2)
+    got = language.Mixtures(table_).infer([t for _, t in docs[:60]])
+    same = total = 0
+    for (_, t), g in zip(docs[:60], got):
+        words = language.words_of(t or "")
+        assert (g is None) == (not words)
+        if words:
+            t_, _, m = brute_mixture(words, table_, lambda w: language.trigrams([w])[0], len(names))
+            assert abs(g[0] - t_).max() < 0.05 and g[0].argmax() == t_.argmax()
+            same, total = same + (g[1] == m), total + 1
+    assert same >= 0.95 * total
+
+
 def test_toxicity(spark, odd, none):
     rng = np.random.default_rng(0)
     words = ["".join(rng.choice(list("abcdeimnorst"), 5)) for _ in range(400)]
