@@ -211,13 +211,23 @@ def test_lines_against_brute_force(spark, batches, fanout, monkeypatch):
         assert r.n_lines - r.n_dropped == (len(r.text.split("\n")) if r.n_dropped < r.n_lines else 0)
 
 
-def test_line_runs_tell_new_keys(spark):
+def test_line_runs_hold_each_key_once(spark):
+    """What the anti-join finds new becomes the batch's run, the rest updates; counts come from both."""
     store = lines.LineRuns(spark, fanout=2)
-    frame = lambda *ks: spark.createDataFrame([(k, k, k) for k in ks], "h1 long, h2 long, id long")
-    fresh = lambda df: sorted(r.h1 for r in df.filter("fresh").collect())
-    assert fresh(store.add(frame(1, 2))) == [1, 2] and fresh(store.add(frame(2, 3))) == [3] and fresh(store.add(frame(1, 4))) == [4]
+    frame = lambda *ks: spark.createDataFrame([(k, k, k + i) for i, k in enumerate(ks)], "h1 long, h2 long, id long")
+    for ks in ((1, 2), (2, 3), (1, 4, 2), (2,)):
+        store.add(frame(*ks))
     assert [len(level) for level in store.levels] == [1, 1]
-    assert {r.h1: (r.n, r.top) for r in store.totals().collect()} == {1: (2, 1), 2: (2, 2), 3: (1, 3), 4: (1, 4)}
+    assert sorted((r.h1, r.n) for r in store.runs().collect()) == [(1, 1), (2, 1), (3, 1), (4, 1)]
+    assert len(store.updates) == 3
+    assert {r.h1: (r.n, r.top) for r in store.common(1).collect()} == {1: (2, 1), 2: (4, 4), 3: (1, 4), 4: (1, 5)}
+    assert [r.h1 for r in store.common(3).collect()] == [2]
+
+
+def test_lines_of_text_ids(spark):
+    rows_ = [(f"d{i}", "a line that many documents hold\nown line") for i in range(9)]
+    kept = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows_, "doc_id string, text string")).collect()}
+    assert [i for i, t in sorted(kept.items()) if t != "own line"] == ["d8"]
 
 
 def test_lines_odd_rows(spark, odd, none):
