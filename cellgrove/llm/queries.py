@@ -19,7 +19,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.coalesce("longest.words", F.lit(0)).alias("n_longest"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,18 +71,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_lattice, op4_decontaminate, op5_lines, op6_mixing, op6_mixing_calibrated, op7_simhash, op8_media, op9_html, op10_language)}
 
 
-#: Words of benchmark items and documents, windows by length, and the words that windows cover.
+#: Words of benchmark items and documents, windows by length, and the words that windows cover; the longest matches are unbroken diagonals of windows.
 OP4_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
-b AS (SELECT DISTINCT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
-win AS (SELECT DISTINCT item, least(10, len(ws)) AS k, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS win FROM b, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) u(i) WHERE len(ws) > 0),
+b AS (SELECT *, row_number() OVER (ORDER BY item, ws) AS r FROM (SELECT DISTINCT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark)),
+suf AS (SELECT item, r, i AS j, least(10, len(ws)) AS k, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS win FROM b, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) u(i) WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item, k, win FROM suf),
 ks AS (SELECT DISTINCT k FROM win),
 places AS (SELECT doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') AS win FROM w, ks, unnest(range(1, len(ws) - k + 2)) u(i)),
 hit AS (SELECT doc_id, item, places.k, i FROM places JOIN win USING (k, win)),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, k, i FROM hit) h, unnest(range(i, i + k)) u(p) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
-SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id),
+pairs AS (SELECT doc_id, r, k, i, i - j AS diagonal, i - row_number() OVER (PARTITION BY doc_id, r, k, i - j ORDER BY i) AS island FROM places JOIN suf USING (k, win)),
+longest AS (SELECT doc_id, max(n) AS n_longest FROM (SELECT doc_id, count(*) + k - 1 AS n FROM pairs GROUP BY doc_id, r, k, diagonal, island) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_longest, 0)::BIGINT AS n_longest
+FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 

@@ -165,20 +165,52 @@ ITEMS = [(1, "one two three four five six seven eight nine ten eleven"), (2, "on
 TEXTS = ["one two three four five six seven eight nine ten eleven", "x one two three four five six seven eight nine ten y", "only three words only three words", "alone", "", None, "a " * 30, "zero one two three four five six seven eight nine", "ONE-TWO.three/four five six seven eight nine TEN eleven é", "wörds only three wörds words only three words"]
 
 
-@pytest.mark.parametrize("block", [4_000_000, 12])
-def test_decontamination_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
-    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 25)
-    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    for r in decontaminate.contamination(docs, bench).collect():
-        assert (r.n_words, r.n_hit, r["items"]) == brute_hits(TEXTS[r.doc_id], ITEMS), TEXTS[r.doc_id]
+def brute_longest(text, items, least=10):
+    """(words, word of the text) of the longest match of any item, of a window's length or more, at its first place."""
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    words, best = find(text), (0, 0)
+    for _, body in items:
+        own = find(body)
+        for i in range(len(own) - min(least, len(own)) + 1 if own else 0):
+            for j in range(len(words)):
+                n = 0
+                while i + n < len(own) and j + n < len(words) and own[i + n] == words[j + n]:
+                    n += 1
+                if n >= min(least, len(own)):
+                    best = max(best, (n, -j))
+    return best[0], -best[1]
+
+
+@pytest.mark.parametrize("block,piece,shard", [(4_000_000, 250_000, 25), (250, 250_000, 1_000_000), (300, 20, 25)])
+def test_decontamination_against_brute_force(spark, monkeypatch, block, piece, shard):
+    for name, value in (("BLOCK_WORDS", block), ("PIECE_WORDS", piece), ("SHARD_WORDS", shard)):
+        monkeypatch.setattr(decontaminate, name, value)
+    rng = np.random.default_rng(0)
+    random = [" ".join(rng.choice(list("abc"), 60)) for _ in range(12)]
+    texts, items = TEXTS + random[:8], ITEMS + [(100 + i, t[20:70]) for i, t in enumerate(random[4:])] + [(200, " ".join("abcab" * 13))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contamination(docs, bench).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        assert (r.n_words, r.n_hit, r["items"]) == brute_hits(texts[r.doc_id], items), texts[r.doc_id]
+        assert sum(s.end - s.start for s in r.spans) == r.n_hit and r.contaminated == (r.n_hit > 0)
+        if piece > 100:
+            assert ((r.longest.words, r.longest.doc_word) if r.longest else (0, 0)) == brute_longest(texts[r.doc_id], items)
     kept = {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()}
-    assert kept == {i for i, t in enumerate(TEXTS) if not brute_hits(t, ITEMS)[1]}
+    assert kept == {i for i, t in enumerate(texts) if not brute_hits(t, items)[1]}
     best = {(r.item_id, r.item_word): r.n_words for r in decontaminate.longest_matches(docs, bench).collect() if r.item_id == "1" and r.doc_id == 0}
     assert best[("1", 0)] == 11 and best[("1", 1)] == 10
 
 
+def test_suffix_arrays():
+    rng = np.random.default_rng(1)
+    for n, k in ((0, 1), (1, 1), (200, 2), (300, 3), (120, 1)):
+        tokens = rng.integers(0, k, n).astype(np.int32)
+        order = decontaminate.suffix_array(tokens, 1 << 20)
+        assert order.tolist() == sorted(range(n), key=lambda i: tokens[i:].tolist())
+
+
 def test_decontamination_odd_rows(spark, odd, none):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.decontaminate(odd, bench).columns == odd.columns
