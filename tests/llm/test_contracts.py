@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -85,6 +86,50 @@ def test_pii_learns_from_context(spark):
     assert any(found[i].n_learned for i, _ in new)
 
 
+def test_pii_finds_planted_identifiers(spark):
+    """Unseen identifiers in the contexts of seeds, and secrets where keys stand, among numbers that are neither: recall and precision."""
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    text = lambda x: " ".join([*(word() for _ in range(8)), x, *(word() for _ in range(8))])
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(60)]
+    docs, planted = [], {}
+    for i in range(60):
+        docs.append(text(f"reach me at ann{i}@mail{i % 7}.example.org any time"))
+        docs.append(text(f'api token = "{hexes[i]}"' if i < 40 else hexes[i]))  # a digest in no context of its own is none
+        docs.append(text(f"about {i} of {i * 7} in version {i % 9}.{i % 4} since {1950 + i}"))
+    for i in range(12):
+        planted[len(docs)] = f"staff-{i}77-x{i}"
+        docs.append(text(f"reach me at {planted[len(docs)]} any time"))
+    for i in range(8):
+        planted[len(docs)] = f"s3cr3t-{word()}-{i}"
+        docs.append(text(f'api token = "{planted[len(docs)]}"'))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = {r.doc_id: {docs[r.doc_id][int(a) : int(b)] for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "learned"} for r in pii.find_pii(df).collect()}
+    right = sum(planted[i] in found[i] for i in planted)
+    secrets = sum(bool(found[3 * i + 1]) for i in range(40))
+    every = sum(map(len, found.values()))
+    assert right >= 0.9 * len(planted) and secrets == 40
+    assert right + secrets >= 0.95 * every, (right, secrets, every)
+
+
+def test_pii_many_matches_in_one_text(spark):
+    """200,000 addresses in one document: merging spans is no join of all with all."""
+    many = " ".join(f"10.{i >> 16}.{i >> 8 & 255}.{i & 255}" for i in range(200_000))
+    df = spark.createDataFrame([(1, many), (2, "x")], "doc_id long, text string")
+    pii.find_pii(df.limit(0)).count()  # compiled
+    began = time.perf_counter()
+    found = {r.doc_id: (r.n_ip, r.n_spans) for r in pii.find_pii(df).select("doc_id", "n_ip", "n_spans").collect()}
+    assert found == {1: (200_000, 200_000), 2: (0, 0)} and time.perf_counter() - began < 60
+
+
+def test_pii_odd_rows(spark, odd, none):
+    texts = {r.doc_id: r.text for r in odd.collect()}
+    found = pii.find_pii(odd).collect()
+    assert len(found) == odd.count() and pii.find_pii(none).count() == 0
+    for r in found:
+        check_pii([r], {r.doc_id: texts[r.doc_id]})
+
+
 # ---- language model
 
 
