@@ -1,48 +1,52 @@
-"""Mixing sources to target weights by iterative proportional fitting: rows in DataFrame operations only, the few cells calibrated on the driver.
+"""Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
-Token counts are summed over cells of source, language and topic; the cells' shares are raked in turn to each target
-marginal, ``ROUNDS`` times round; a document's chance of being drawn is its cell's share of the wanted tokens over the
-cell's tokens; it is drawn if a hash of its id, as a number in [0, 1), is below that.
+Token counts are summed over cells of source, language and topic. The cells' draws are raked in turn to each target
+marginal, no cell above what it has, until a whole round moves nothing by more than ``SETTLED`` (or ``ROUNDS`` rounds are over). That is done at several
+rates side by side, from the largest that the categories' own tokens allow (at most ``rate``) down to a tenth of it; the largest rate counts at which the
+expected draw meets every marginal within ``ERROR``, else that with the least error. A document's chance of being drawn is its cell's
+draw over the cell's tokens; it is drawn if a hash of its id, as a number in [0, 1), is below that. ``rate`` and ``off`` tell the part of all
+tokens that is expected to be drawn and the largest difference of an expected share from its target; ``marginals`` reports all of them.
 
-A cell cannot supply more than it has. ``calibrate`` therefore rakes with full cells held full, and lowers the rate to
-the largest at which the expected draw meets every marginal; ``mix`` without ``calibrated`` cuts chances at 1 instead, as the
-SQL of ``op6_mixing`` does, and then misses marginals that ask for more than there is. ``marginals`` reports what is reached.
+A document's form stands for its topic: prose, table, marked up or shouted, by counts of its characters; ``topic`` takes any other column.
 
 Categories are those that the targets name and ``other`` for all the rest, so the cells are at most the product of
 the targets' lengths: their size is bounded by the specification, whatever the data, and they alone are sent to tasks.
 Sums over cells are partial sums first, so a source with a third of all rows is no hot task.
 
-Defined results: null sources and languages are ``other``; a null text has no tokens and topic ``prose``; a cell without tokens is
-given chance 1 if it is wanted at all (its documents cost nothing); targets of categories without rows are spread over the others in proportion; rows
-that repeat an id are drawn alike.
+Defined results: null sources, languages and topics are ``other``; a null text has no tokens and topic ``prose``; a cell without tokens has
+chance 1 if anything is drawn at all (its documents cost nothing); targets of categories without tokens are spread over the others in
+proportion; without tokens, or with targets that are all zero, all others have chance 0; equal hashes are drawn alike, as are rows that repeat an id.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellgrove.llm.common import free_name
 
-ROUNDS, RATE, SEED = 20, 0.5, "mix-1"
+ROUNDS, RATE, SEED = 300, 0.5, "mix-1"
+SETTLED, ERROR = 1e-12, 0.002
+#: Rates that are tried, as parts of the largest.
+STEPS = [1.0, 0.95, 0.9, 0.85, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1]
 OTHER = "other"
 
-#: The query's targets. The text's form stands for its topic.
+#: The query's targets.
 TARGETS = {
     "source": {"src0": 0.15, "src1": 0.10, "src2": 0.10, OTHER: 0.65},
     "lang": {"en": 0.40, "de": 0.20, "fr": 0.20, "es": 0.15, OTHER: 0.05},
     "topic": {"prose": 0.70, "table": 0.10, "marked": 0.15, "shout": 0.05, OTHER: 0.0},
 }
-MARKS = ["###", "$$$", "%%%", "&&&", "***"]
+CAPITALS, SMALL, SIGNS, BARS = "[A-Z]", "[a-z]", "[#$%&*+=<>{}\\[\\]^~`@/_\\\\]", "[|\\x09]"
 
 
 def form_of(text: Column) -> Column:
-    """The form of a text, by the marks that stand in it."""
-    marked = F.lit(False)
-    for m in MARKS:
-        marked = marked | F.contains(text, F.lit(m))
-    return F.when(F.contains(text, F.lit(" | ")), "table").when(marked, "marked").when(F.contains(text, F.lit("!! ")), "shout").otherwise("prose")
+    """A table has two bars or tabs a line and four at least; a shouted text thrice as many capitals as small letters; a marked one a sign in twenty characters."""
+    count = lambda x: F.coalesce(F.regexp_count(text, F.lit(x)), F.lit(0))
+    bars, lines = count(BARS), count("\n") + 1
+    return F.when((bars >= 4) & (bars >= 2 * lines), "table").when(count(CAPITALS) > 3 * count(SMALL), "shout").when(20 * count(SIGNS) > F.length(text), "marked").otherwise("prose")
 
 
 def tokens_of(text: Column) -> Column:
@@ -53,81 +57,63 @@ def _category(column: Column, target: dict[str, float]) -> Column:
     return F.when(column.isin([k for k in target if k != OTHER]), column).otherwise(OTHER)
 
 
-def mix_weights(df: DataFrame, columns: dict[str, Column], tokens: Column, targets: dict[str, dict[str, float]], rounds: int = ROUNDS) -> DataFrame:
-    """One row per cell: its categories, tokens and raked share of all tokens."""
-    dims = list(targets)
-    cells = df.select(*(_category(columns[d], targets[d]).alias(d) for d in dims), tokens.alias("tokens")).groupBy(*dims).agg(F.sum("tokens").alias("tokens"))
-    cells = cells.repartition(1).withColumn("share", F.col("tokens").cast("double"))
-    for d in dims:
-        goal = F.create_map(*(x for k, v in targets[d].items() for x in (F.lit(k), F.lit(float(v)))))
-        cells = cells.withColumn(f"goal_{d}", F.coalesce(goal[F.col(d)], F.lit(0.0)))
-    for _ in range(rounds):
-        for d in dims:
-            total = F.sum("share").over(Window.partitionBy(d))
-            cells = cells.withColumn("share", F.when(total > 0, F.col("share") * F.col(f"goal_{d}") / total).otherwise(0.0))
-    everything = F.sum("share").over(Window.partitionBy(F.lit(1)))
-    return cells.withColumn("share", F.when(everything > 0, F.col("share") / everything).otherwise(0.0)).select(*dims, "tokens", "share")
-
-
-def _capped(supply: np.ndarray, groups: list[tuple[int, np.ndarray, float]], dims: int, rounds: int = 1000) -> np.ndarray | None:
-    """What to draw from each cell: raked to the groups' goals in tokens, no cell above its supply; None if that does not converge. Each step scales one category so that its cells, full ones held full, add up to its goal."""
-    factor = np.ones((dims, len(supply)))
-    drawn = supply
-    for _ in range(rounds):
-        for d, at, goal in groups:
-            own = supply[at]
-            x = own * np.delete(factor, d, 0)[:, at].prod(0)
-            on = np.flatnonzero(x > 0)
-            if goal <= 0:
-                factor[d, at] = 0
-                continue
-            if own[on].sum() < goal * (1 - 1e-12):
-                return None
-            on = on[np.argsort(own[on] / x[on], kind="stable")]
-            full = np.concatenate([[0.0], np.cumsum(own[on])[:-1]])
-            left = np.cumsum(x[on][::-1])[::-1]
-            scale = (goal - full) / left
-            fits = np.flatnonzero(scale <= own[on] / x[on] * (1 + 1e-12))
-            factor[d, at] = scale[fits[0]] if len(fits) else own[on[-1]] / x[on[-1]]
-        drawn = np.minimum(supply, supply * factor.prod(0))
-        if max(abs(drawn[at].sum() - goal) for _, at, goal in groups) < 1e-7 * max(1.0, drawn.sum()):
-            return drawn
-    return None
-
-
-def calibrate(cells: DataFrame, targets: dict[str, dict[str, float]], rate: float) -> DataFrame:
-    """``cells`` of ``mix_weights`` with weight (share of the draw) and probability instead of share. The draw meets the targets at the largest rate up to ``rate`` that the cells can supply. Targets that contradict each other at every rate keep the raked shares, at the largest rate at which no chance is above 1."""
+def _position(names: list[str], dim: str) -> Callable[[Column], Column]:
+    return lambda cell: F.array_position(F.array(*map(F.lit, names)), cell[dim]).cast("int") - 1
+
+
+def cells_of(df: DataFrame, columns: dict[str, Column], tokens: Column, targets: dict[str, dict[str, float]]) -> DataFrame:
+    """One row per cell: its categories and tokens."""
+    return df.select(*(_category(columns[d], targets[d]).alias(d) for d in targets), tokens.alias("tokens")).groupBy(*targets).agg(F.sum("tokens").alias("tokens"))
+
+
+def calibrate(cells: DataFrame, targets: dict[str, dict[str, float]], rate: float = RATE, rounds: int = ROUNDS) -> DataFrame:
+    """``cells`` with weight (share of the draw), probability, rate and off. The cells, bounded by the targets, are arrays of one row; each rate is a row of its own."""
     dims = list(targets)
-    rows = cells.orderBy(*dims).collect()  # at most the product of the targets' lengths
-    supply = np.array([float(x["tokens"]) for x in rows])
-    total = supply.sum()
-    groups = []
-    for i, d in enumerate(dims):
-        names = np.array([x[d] for x in rows], dtype=object)
-        found = [(np.flatnonzero(names == k), float(v)) for k, v in targets[d].items()]
-        found = [(at, v) for at, v in found if supply[at].sum() > 0]
-        whole = sum(v for _, v in found)
-        groups += [(i, at, v / whole if whole > 0 else 0.0) for at, v in found]
-    drawn = np.zeros(len(rows))
-    if total > 0 and rate > 0 and all(any(v > 0 for i, _, v in groups if i == d) for d in range(len(dims))):
-        at_rate = lambda x: _capped(supply, [(i, at, v * x * total) for i, at, v in groups], len(dims))
-        high = min(rate, 1.0, *(supply[at].sum() / (v * total) for _, at, v in groups if v > 0))
-        best = at_rate(high)
-        low = 0.0
-        if best is None:
-            for _ in range(16):
-                mid = (low + high) / 2
-                got = at_rate(mid)
-                low, high, best = (mid, high, got) if got is not None else (low, mid, best)
-        if best is None:
-            share = np.array([float(x["share"]) for x in rows])
-            fill = max((share[supply > 0] * total / supply[supply > 0]).max(initial=0.0), 1e-300)
-            best = share * total * min(rate, 1 / fill)
-        drawn = best
-    chance = np.where(supply > 0, np.minimum(1.0, drawn / np.maximum(supply, 1.0)), 1.0 if rate > 0 else 0.0)
-    weight = drawn / (drawn.sum() or 1.0)
-    data = [(*(x[d] for d in dims), x["tokens"], float(w), float(c)) for x, w, c in zip(rows, weight, chance)]
-    return cells.sparkSession.createDataFrame(data, ", ".join(f"`{d}` string" for d in dims) + ", tokens long, weight double, probability double")
+    names = [[*targets[d], *([] if OTHER in targets[d] else [OTHER])] for d in dims]
+    one = cells.agg(F.sort_array(F.collect_list(F.struct(*dims, "tokens"))).alias("c")).select("c", F.transform("c", lambda x: x["tokens"].cast("double")).alias("s"))
+    place = F.array(*(F.transform("c", _position(names[i], dims[i])) for i in range(len(dims))))
+    add = lambda a, first=0.0: F.aggregate(a, F.lit(first), lambda u, v: u + v)
+    one = one.select("c", "s", place.alias("p"), add(F.col("s")).alias("total"))
+
+    def sums(x: Column, where: Column, k: Column) -> Column:
+        return add(F.zip_with(x, where, lambda v, p: F.when(p == k, v).otherwise(0.0)))
+
+    def totals(x: Column, i: int) -> Column:
+        return F.transform(F.array(*map(F.lit, range(len(names[i])))), lambda k: sums(x, F.col("p")[i], k))
+
+    one = one.select("*", F.array(*(totals(F.col("s"), i) for i in range(len(dims)))).alias("supply"))
+    wanted = [F.zip_with(F.array(*(F.lit(float(targets[d].get(k, 0.0))) for k in names[i])), F.col("supply")[i], lambda w, s: F.when(s > 0, w).otherwise(0.0)) for i, d in enumerate(dims)]
+    one = one.select("*", F.array(*wanted).alias("w"))
+    one = one.select("*", F.transform("w", lambda w: F.transform(w, lambda x: F.when(add(w) > 0, x / add(w)).otherwise(0.0))).alias("goal"))
+    most = F.least(F.lit(float(rate)), F.lit(1.0), *(F.array_min(F.zip_with(F.col("goal")[i], F.col("supply")[i], lambda g, s: F.when(g > 0, s / (g * F.col("total"))))) for i in range(len(dims))))
+    on = (F.col("total") > 0) & F.forall("goal", lambda g: add(g) > 0)
+    tried = one.select("*", F.when(on, F.coalesce(most, F.lit(0.0))).otherwise(0.0).alias("most")).select("*", F.explode(F.array(*map(F.lit, STEPS))).alias("part"))
+    tried = tried.withColumn("r", F.col("most") * F.col("part"))
+
+    # a step is two phases: the factors of one marginal's categories, then the draws; a settled state stays
+    n = len(dims)
+    state = F.struct(F.transform("s", lambda v: v * F.col("r")).alias("x"), F.array().cast("array<double>").alias("f"), F.lit(0.0).alias("moved"), F.lit(False).alias("done"))
+
+    def step(a: Column, j: Column) -> Column:
+        d = F.floor(j / 2).cast("int") % n
+        where, goal = F.get(F.col("p"), d), F.get(F.col("goal"), d)
+        factors = F.transform(goal, lambda g, k: (lambda t: F.when(t > 0, g * F.col("r") * F.col("total") / t).otherwise(0.0))(sums(a["x"], where, k)))
+        far = F.greatest(F.when(d == 0, 0.0).otherwise(a["moved"]), F.array_max(F.zip_with(a["f"], goal, lambda f, g: F.when(g > 0, F.abs(f - 1)).otherwise(0.0))))
+        draws = F.transform(F.arrays_zip(a["x"].alias("x"), where.alias("p"), F.col("s").alias("s")), lambda z: F.least(z["s"], z["x"] * F.get(a["f"], z["p"])))
+        first = F.struct(a["x"].alias("x"), factors.alias("f"), a["moved"].alias("moved"), a["done"].alias("done"))
+        second = F.struct(draws.alias("x"), a["f"].alias("f"), far.alias("moved"), ((d == n - 1) & (far < SETTLED)).alias("done"))
+        return F.when(a["done"], a).when(j % 2 == 0, first).otherwise(second)
+
+    tried = tried.withColumn("x", F.aggregate(F.sequence(F.lit(0), F.lit(2 * n * rounds - 1)), state, step, lambda a: a["x"]))
+    whole = add(F.col("x"))
+    tried = tried.withColumn("drawn", whole)
+    far = F.greatest(*(F.array_max(F.zip_with(totals(F.col("x"), i), F.col("goal")[i], lambda t, g: F.abs(t / F.greatest(F.col("drawn"), F.lit(1e-300)) - g))) for i in range(n)), F.abs(F.col("drawn") / F.greatest(F.col("r") * F.col("total"), F.lit(1e-300)) - 1))
+    tried = tried.withColumn("off", F.when(F.col("drawn") > 0, far).otherwise(0.0))
+    best = tried.groupBy().agg(F.min_by(F.struct("c", "s", "x", "total", "drawn", "off"), F.struct(F.when(F.col("off") <= ERROR, 0.0).otherwise(F.col("off")), -F.col("part"))).alias("b")).select("b.*")
+    rows = best.select(F.explode(F.arrays_zip("c", "x", "s")).alias("z"), "total", "drawn", "off")
+    some = F.col("drawn") > 0
+    chance = F.when(F.col("z.s") > 0, F.least(F.lit(1.0), F.col("z.x") / F.col("z.s"))).otherwise(1.0 if rate > 0 else 0.0)
+    return rows.select(*(F.col(f"z.c.{d}").alias(d) for d in dims), F.col("z.c.tokens").alias("tokens"), F.when(some, F.col("z.x") / F.col("drawn")).otherwise(0.0).alias("weight"), chance.alias("probability"), F.when(some, F.col("drawn") / F.col("total")).otherwise(0.0).alias("rate"), "off")
 
 
 def marginals(mixed: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
@@ -146,45 +132,52 @@ def uniform(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE, rounds: int = ROUNDS, seed: str = SEED, calibrated: bool = True) -> DataFrame:
-    """``df`` with n_tokens, source_group, lang_group, topic_group, weight (the cell's share of the mixture), probability and selected. ``rate`` is the wanted part of all tokens, the most that is drawn."""
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
+    """``df`` with n_tokens, source_group, lang_group, topic_group, weight (the cell's share of the mixture), probability, rate, off and selected. ``rate`` is the wanted part of all tokens, the most that is drawn."""
     targets = targets or TARGETS
     columns = {"source": F.col(source), "lang": F.col(lang), "topic": form_of(F.col(text)) if topic is None else topic}
     n = free_name(df, "_n")
     df = df.withColumn(n, tokens_of(F.col(text)))
-    cells = mix_weights(df, columns, F.col(n), targets, rounds)
-    if calibrated:
-        cells = calibrate(cells, targets, rate)
-    else:
-        whole = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
-        chance = F.when(F.col("tokens") == 0, F.when(F.lit(rate) > 0, 1.0).otherwise(0.0)).otherwise(F.least(F.lit(1.0), F.lit(rate) * whole * F.col("share") / F.col("tokens")))
-        cells = cells.select(*targets, F.col("share").alias("weight"), chance.alias("probability"))
-    cells = cells.select(*(F.col(d).alias(f"_{d}_group") for d in targets), "weight", "probability")
-    rows = df.select(*df.columns, *(_category(columns[d], targets[d]).alias(f"{d}_group") for d in targets))
-    joined = rows.join(F.broadcast(cells), [F.col(f"{d}_group") == F.col(f"_{d}_group") for d in targets]).drop(*(f"_{d}_group" for d in targets))
-    return joined.withColumn("selected", uniform(F.col(key), seed) < F.col("probability")).withColumnRenamed(n, "n_tokens")
+    cells = calibrate(cells_of(df, columns, F.col(n), targets), targets, rate, rounds)
+    added = {x: free_name(df, f"_{x}") for x in ("weight", "probability", "rate", "off")}
+    cells = cells.select(*(F.col(d).alias(f"_{d}_cell") for d in targets), *(F.col(x).alias(y) for x, y in added.items()))
+    groups = {d: _category(columns[d], targets[d]) for d in targets}
+    # at most the product of the targets' lengths
+    joined = df.join(F.broadcast(cells), [groups[d] == F.col(f"_{d}_cell") for d in targets])
+    kept = [c for c in df.columns if c != n and c not in {"n_tokens", "selected", *added, *(f"{d}_group" for d in targets)}]
+    return joined.select(*kept, F.col(n).alias("n_tokens"), *(F.col(f"_{d}_cell").alias(f"{d}_group") for d in targets), *(F.col(y).alias(x) for x, y in added.items()), (uniform(F.col(key), seed) < F.col(added["probability"])).alias("selected"))
 
 
 def mix_sql(documents: str = "documents", targets: dict | None = None, rate: float = RATE, rounds: int = ROUNDS, seed: str = SEED) -> str:
-    """Common table expressions for DuckDB, the last named ``mixed``: every row of ``documents`` with what ``mix`` adds."""
+    """Common table expressions for DuckDB, the last named ``mixed``: every row of ``documents`` with what ``mix`` adds. The rounds are a recursion over cells and rates, without an early end."""
     targets = targets or TARGETS
     dims = list(targets)
     quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
-    marks = " OR ".join(f"contains(text, '{m}')" for m in MARKS)
-    value = {"source": "source", "lang": "lang", "topic": f"CASE WHEN contains(text, ' | ') THEN 'table' WHEN {marks} THEN 'marked' WHEN contains(text, '!! ') THEN 'shout' ELSE 'prose' END"}
+    count = lambda x: f"coalesce(len(regexp_extract_all(text, '{x}')), 0)"
+    form = f"CASE WHEN {count(BARS)} >= 4 AND {count(BARS)} >= 2 * ({count(chr(10))} + 1) THEN 'table' WHEN {count(CAPITALS)} > 3 * {count(SMALL)} THEN 'shout' WHEN 20 * {count(SIGNS)} > length(text) THEN 'marked' ELSE 'prose' END"
+    value = {"source": "source", "lang": "lang", "topic": form}
     group = ", ".join(f"CASE WHEN ({value[d]}) IN ({quoted(k for k in targets[d] if k != OTHER)}) THEN ({value[d]}) ELSE '{OTHER}' END AS {d}_group" for d in dims)
     keys = ", ".join(f"{d}_group" for d in dims)
-    goals = ", ".join(f"CASE {d}_group " + " ".join(f"WHEN '{k}' THEN {float(v)}::DOUBLE" for k, v in targets[d].items()) + f" ELSE 0 END AS goal_{d}" for d in dims)
+    wanted = ", ".join(f"CASE {d}_group " + " ".join(f"WHEN '{k}' THEN {float(v)}::DOUBLE" for k, v in targets[d].items()) + f" ELSE 0 END AS w_{d}" for d in dims)
+    supply = ", ".join(f"sum(s) OVER (PARTITION BY {d}_group) AS supply_{d}" for d in dims)
+    goal = ", ".join(f"CASE WHEN supply_{d} > 0 THEN w_{d} / (SELECT sum(w) FROM (SELECT DISTINCT {d}_group, w_{d} AS w FROM c1 WHERE supply_{d} > 0)) ELSE 0 END AS goal_{d}" for d in dims)
+    most = ", ".join(f"min(supply_{d} / (goal_{d} * total)) FILTER (goal_{d} > 0)" for d in dims)
+    step = "tried"
+    for d in dims:
+        total = f"sum(x) OVER (PARTITION BY part, {d}_group)"
+        step = f"(SELECT * REPLACE (least(s, CASE WHEN {total} > 0 THEN x * (goal_{d} * r * total / {total}) ELSE 0 END) AS x) FROM {step})"
+    off = ", ".join(f"max(abs(sum_{d} / drawn - goal_{d}))" for d in dims)
     out = [
         f"grouped AS (SELECT *, coalesce(len(regexp_extract_all(text, '[^ \\x09-\\x0D]+')), 0)::BIGINT AS n_tokens, {group} FROM {documents})",
-        f"s0 AS (SELECT *, tokens::DOUBLE AS share, {goals} FROM (SELECT {keys}, sum(n_tokens)::BIGINT AS tokens FROM grouped GROUP BY ALL))",
+        f"c0 AS (SELECT {keys}, sum(n_tokens)::DOUBLE AS s FROM grouped GROUP BY ALL)",
+        f"c1 AS (SELECT *, {wanted}, {supply}, sum(s) OVER () AS total FROM c0)",
+        f"c2 AS (SELECT *, {goal} FROM c1)",
+        f"most AS (SELECT least({rate}::DOUBLE, 1.0::DOUBLE, {most}) AS m FROM c2)",
+        f"tried(round, part, {keys}, s, total, {', '.join(f'goal_{d}' for d in dims)}, r, x) AS (SELECT 0, part, {keys}, s, total, {', '.join(f'goal_{d}' for d in dims)}, m * part, s * (m * part) FROM c2, most, unnest([{', '.join(f'{x}::DOUBLE' for x in STEPS)}]) u(part) UNION ALL SELECT round + 1, * EXCLUDE (round) FROM {step} WHERE round < {rounds})",
+        f"ended AS (SELECT *, sum(x) OVER (PARTITION BY part) AS drawn, {', '.join(f'sum(x) OVER (PARTITION BY part, {d}_group) AS sum_{d}' for d in dims)} FROM tried WHERE round = {rounds})",
+        f"judged AS (SELECT part, greatest({off}, max(abs(drawn / (r * total) - 1))) AS off FROM ended GROUP BY part)",
+        f"best AS (SELECT * FROM judged ORDER BY CASE WHEN off <= {ERROR} THEN 0 ELSE off END, part DESC LIMIT 1)",
+        f"cells AS (SELECT {keys}, x / drawn AS weight, CASE WHEN s > 0 THEN least(1.0::DOUBLE, x / s) ELSE 1 END AS probability, drawn / total AS rate, off FROM ended JOIN best USING (part))",
+        f"mixed AS (SELECT grouped.*, weight, probability, rate, off, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < probability AS selected FROM grouped JOIN cells USING ({keys}))",
     ]
-    step = 0
-    for _ in range(rounds):
-        for d in dims:
-            total = f"sum(share) OVER (PARTITION BY {d}_group)"
-            out.append(f"s{step + 1} AS (SELECT * REPLACE (CASE WHEN {total} > 0 THEN share * goal_{d} / {total} ELSE 0 END AS share) FROM s{step})")
-            step += 1
-    out.append(f"cells AS (SELECT {keys}, share / sum(share) OVER () AS weight, CASE WHEN tokens = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, {rate}::DOUBLE * sum(tokens) OVER () * (share / sum(share) OVER ()) / tokens) END AS probability FROM s{step})")
-    out.append(f"mixed AS (SELECT grouped.*, weight, probability, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < probability AS selected FROM grouped JOIN cells USING ({keys}))")
-    return ", ".join(out)
+    return "RECURSIVE " + ", ".join(out)

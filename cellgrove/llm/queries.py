@@ -35,17 +35,10 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-def _mixed(mixed: DataFrame) -> DataFrame:
-    return mixed.select("doc_id", "source_group", "lang_group", "topic_group", "n_tokens", F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability"), "selected")
-
-
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chances cut at 1, as its SQL has them; ``op6_mixing_calibrated`` meets the targets."""
-    return _mixed(mixing.mix(table(spark, sf_dir, "documents"), calibrated=False))
-
-
-def op6_mixing_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mixed(mixing.mix(table(spark, sf_dir, "documents")))
+    """``rate`` and ``off`` are the attained rate and the largest difference of an attained marginal from its target."""
+    r = lambda c: F.round(c, 9).alias(c)
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source_group", "lang_group", "topic_group", "n_tokens", r("weight"), r("probability"), r("rate"), r("off"), "selected")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +61,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_lattice, op4_decontaminate, op5_lines, op6_mixing, op6_mixing_calibrated, op7_simhash, op8_media, op9_html, op10_language)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_lattice, op4_decontaminate, op5_lines, op6_mixing, op7_simhash, op8_media, op9_html, op10_language)}
 
 
 #: Words of benchmark items and documents, windows by length, and the words that windows cover; the longest matches are unbroken diagonals of windows.
@@ -99,7 +92,7 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (NOT stays)::BIGINT
 FROM kept GROUP BY doc_id
 """
 
-OP6_SQL = f"WITH {mixing.mix_sql()} SELECT doc_id, source_group, lang_group, topic_group, n_tokens, round(weight, 9) AS weight, round(probability, 9) AS probability, selected FROM mixed"
+OP6_SQL = f"WITH {mixing.mix_sql()} SELECT doc_id, source_group, lang_group, topic_group, n_tokens, round(weight, 9) AS weight, round(probability, 9) AS probability, round(rate, 9) AS rate, round(off, 9) AS off, selected FROM mixed"
 
 
 def oracle_sql() -> dict[str, str]:

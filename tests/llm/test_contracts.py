@@ -342,8 +342,38 @@ def test_mixing_meets_targets_that_exceed_a_cell(spark):
     assert n[0] <= 1 and 0.15 < n[1] <= 0.2
 
 
+def test_mixing_attains_its_targets(spark):
+    """The query's own targets on sf0.1 documents: expected and drawn shares, and the largest rate that the documents allow."""
+    mixed = mixing.mix(table(spark, "/root/testdata/sf0.1", "documents")).drop("text").cache()
+    found = mixing.marginals(mixed).collect()
+    for r in found:  # no text is in other languages: their target is spread over the rest
+        goal = r.target / sum(x.target for x in found if x.dim == r.dim)
+        assert abs(r.expected - goal) <= 0.002 and abs(r.drawn - goal) <= 0.02, r
+    first = mixed.select("rate", "off").first()
+    assert first.rate > 0.2 and first.off <= mixing.ERROR
+    mixed.unpersist()
+
+
+def test_mixing_targets_without_rows_or_sense(spark):
+    rows_ = [(i, "w " * 5, "en", f"src{i % 2}", None) for i in range(400)] + [(None, None, None, None, None), (1, "w " * 5, "en", "src1", None)]
+    df = spark.createDataFrame(rows_, SCHEMA)
+    one = {"prose": 1.0, "other": 0.0}
+    # nothing is Spanish: its share goes to the others
+    mixed = mixing.mix(df, targets={"source": {"src0": 0.5, "src1": 0.5}, "lang": {"en": 0.5, "es": 0.5}, "topic": one}, rate=0.4)
+    assert mixed.select("rate").first()[0] == pytest.approx(0.4) and mixed.count() == 402
+    # nothing is wanted: no text is drawn
+    none_ = mixing.mix(df, targets={"source": {"src9": 1.0}, "lang": {"en": 1.0}, "topic": one})
+    assert none_.filter("selected and n_tokens > 0").count() == 0 and none_.count() == 402
+    # equal ids share their fate
+    assert mixed.filter("doc_id = 1").select("selected").distinct().count() == 1
+
+
 def test_mixing_odd_rows(odd, none):
-    assert mixing.mix(odd).count() == odd.count() and mixing.mix(none).count() == 0
+    clash = odd.selectExpr("*", "1 AS weight", "2 AS rate", "3 AS tokens", "4 AS source_group", "5 AS x", "6 AS c")
+    for df in (odd, clash):
+        mixed = mixing.mix(df)
+        assert mixed.count() == odd.count() and len(set(mixed.columns)) == len(mixed.columns)
+    assert mixing.mix(none).count() == 0
 
 
 # ---- near duplicates
