@@ -20,15 +20,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share; a local one is set only where that is unset."""
+def folder(spark: SparkSession) -> str:
+    """The application's folder under ``spark.checkpoint.dir``, which all executors share. Where that is unset, a local master gets a temporary one, and others an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         base = f"file://{tempfile.gettempdir()}/cellgrove-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/cellgrove-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/cellgrove-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the application's folder."""
+    return f"{folder(spark)}/{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes all tables that this application wrote there, of the core operators too; DataFrames that read them are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -40,7 +52,7 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch holds, so that long texts do not add up in a worker."""
+    """Bounds what one Arrow batch holds, so that long texts do not add up in a worker. It is a setting of the session, read when a query runs, so it stays."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 

@@ -7,7 +7,7 @@ expected draw meets every marginal within ``ERROR``, else that with the least er
 draw over the cell's tokens; it is drawn if a hash of its id, as a number in [0, 1), is below that. ``rate`` and ``off`` tell the part of all
 tokens that is expected to be drawn and the largest difference of an expected share from its target; ``marginals`` reports all of them.
 
-A document's form stands for its topic: prose, table, marked up or shouted, by counts of its characters; ``topic`` takes any other column.
+A document's form stands for its topic: prose, table, marked up or shouted, by counts of bars, capitals and signs; ``topic`` takes any other column.
 
 Categories are those that the targets name and ``other`` for all the rest, so the cells are at most the product of
 the targets' lengths: their size is bounded by the specification, whatever the data, and they alone are sent to tasks.
@@ -39,18 +39,18 @@ TARGETS = {
     "lang": {"en": 0.40, "de": 0.20, "fr": 0.20, "es": 0.15, OTHER: 0.05},
     "topic": {"prose": 0.70, "table": 0.10, "marked": 0.15, "shout": 0.05, OTHER: 0.0},
 }
-CAPITALS, SMALL, SIGNS, BARS = "[A-Z]", "[a-z]", "[#$%&*+=<>{}\\[\\]^~`@/_\\\\]", "[|\\x09]"
+CAPITALS, SIGNS, WORDS = "[A-Z]{2,}", "[#$%&*+=<>{}\\[\\]^~`@/_\\\\]+", "[^ \\x09-\\x0D]+"
 
 
 def form_of(text: Column) -> Column:
-    """A table has two bars or tabs a line and four at least; a shouted text thrice as many capitals as small letters; a marked one a sign in twenty characters."""
+    """A table has two bars or tabs a line and four at least; a shouted text a run of capitals in half of its words; a marked one a run of signs in a quarter."""
     count = lambda x: F.coalesce(F.regexp_count(text, F.lit(x)), F.lit(0))
-    bars, lines = count(BARS), count("\n") + 1
-    return F.when((bars >= 4) & (bars >= 2 * lines), "table").when(count(CAPITALS) > 3 * count(SMALL), "shout").when(20 * count(SIGNS) > F.length(text), "marked").otherwise("prose")
+    times = lambda *xs: sum(F.length(text) - F.length(F.replace(text, F.lit(x))) for x in xs)
+    return F.when((times("|", "\t") >= 4) & (times("|", "\t") >= 2 * times("\n") + 2), "table").when((count(CAPITALS) > 0) & (2 * count(CAPITALS) >= tokens_of(text)), "shout").when((count(SIGNS) > 0) & (4 * count(SIGNS) >= tokens_of(text)), "marked").otherwise("prose")
 
 
 def tokens_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit("[^ \\x09-\\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
 def _category(column: Column, target: dict[str, float]) -> Column:
@@ -154,7 +154,8 @@ def mix_sql(documents: str = "documents", targets: dict | None = None, rate: flo
     dims = list(targets)
     quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
     count = lambda x: f"coalesce(len(regexp_extract_all(text, '{x}')), 0)"
-    form = f"CASE WHEN {count(BARS)} >= 4 AND {count(BARS)} >= 2 * ({count(chr(10))} + 1) THEN 'table' WHEN {count(CAPITALS)} > 3 * {count(SMALL)} THEN 'shout' WHEN 20 * {count(SIGNS)} > length(text) THEN 'marked' ELSE 'prose' END"
+    times = lambda *xs: "(" + " + ".join(f"length(text) - length(replace(text, chr({ord(x)}), ''))" for x in xs) + ")"
+    form = f"CASE WHEN {times('|', chr(9))} >= 4 AND {times('|', chr(9))} >= 2 * {times(chr(10))} + 2 THEN 'table' WHEN {count(CAPITALS)} > 0 AND 2 * {count(CAPITALS)} >= {count(WORDS)} THEN 'shout' WHEN {count(SIGNS)} > 0 AND 4 * {count(SIGNS)} >= {count(WORDS)} THEN 'marked' ELSE 'prose' END"
     value = {"source": "source", "lang": "lang", "topic": form}
     group = ", ".join(f"CASE WHEN ({value[d]}) IN ({quoted(k for k in targets[d] if k != OTHER)}) THEN ({value[d]}) ELSE '{OTHER}' END AS {d}_group" for d in dims)
     keys = ", ".join(f"{d}_group" for d in dims)
@@ -168,7 +169,7 @@ def mix_sql(documents: str = "documents", targets: dict | None = None, rate: flo
         step = f"(SELECT * REPLACE (least(s, CASE WHEN {total} > 0 THEN x * (goal_{d} * r * total / {total}) ELSE 0 END) AS x) FROM {step})"
     off = ", ".join(f"max(abs(sum_{d} / drawn - goal_{d}))" for d in dims)
     out = [
-        f"grouped AS (SELECT *, coalesce(len(regexp_extract_all(text, '[^ \\x09-\\x0D]+')), 0)::BIGINT AS n_tokens, {group} FROM {documents})",
+        f"grouped AS (SELECT *, {count(WORDS)}::BIGINT AS n_tokens, {group} FROM {documents})",
         f"c0 AS (SELECT {keys}, sum(n_tokens)::DOUBLE AS s FROM grouped GROUP BY ALL)",
         f"c1 AS (SELECT *, {wanted}, {supply}, sum(s) OVER () AS total FROM c0)",
         f"c2 AS (SELECT *, {goal} FROM c1)",
