@@ -32,13 +32,15 @@ BUCKETS, SMOOTH = 1 << 16, 0.1
 SETTLED = 1e-3
 #: Words that a worker keeps and code points that it infers together, both for four languages and fewer for more.
 CACHE, TOGETHER = 300_000, 2_000_000
-#: Letters and nothing else: word characters without digits, underscores and the numbers that are no decimal digits.
-NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{re.escape(NUMBERS)}]+")
+WORDS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """Runs of letters, in small letters. Word characters without digits and underscores are letters but for numbers such as fractions, which are rare."""
+    words = WORDS.findall(text.lower())
+    if "".join(words).isalpha() or not words:
+        return words
+    return [w for x in words for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
