@@ -78,3 +78,11 @@ def hilbert_path(grid: Grid, p: str = "") -> Column:
 
 def sort_path(grid: Grid, curve: str = "morton", p: str = "") -> Column:
     return grid.path(p, root=False) if curve == "morton" else hilbert_path(grid, p)
+
+
+def sort_key(grid: Grid, curve: str = "morton", p: str = "") -> Column:
+    """One long that sorts like ``sort_path``, where digits and level fit (2-D to depth 29, 3-D to 19, 4-D to 14); else the path."""
+    if grid.dim * grid.depth + 5 > 63 or grid.depth > 31:
+        return sort_path(grid, curve, p)
+    key = grid.morton_key(p) if curve == "morton" else hilbert_key(grid, p)
+    return key * 32 + grid.lev(p)

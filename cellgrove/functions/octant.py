@@ -228,4 +228,4 @@ class Grid:
     def node_rank(self, cell: str, order: int, p: str = "") -> Column:
         """The lexicographic slot of a node in the element ``cell``."""
         side = self.side(self.lev(cell))
-        return sum(((F.lit(order) - F.expr("1") * F.floor((F.lit(order) * (a + side - x)).cast("double") / side).cast("long")) * (order + 1) ** d for d, (a, x) in enumerate(zip(self.lower(cell), self.x(p)))), F.lit(0).cast("long"))
+        return sum(((F.lit(order) - F.call_function("div", F.lit(order) * (a + side - x), side)) * (order + 1) ** d for d, (a, x) in enumerate(zip(self.lower(cell), self.x(p)))), F.lit(0).cast("long"))

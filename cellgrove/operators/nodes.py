@@ -1,7 +1,7 @@
 """Nodes of elements: generation, unique (conforming) nodes, boundary, owners, and maps between partitions.
 
 A node row has the octant's columns with the coordinates of the node; ``lev`` is the level of the element that made it.
-Order 1 to 2 nodes are resolved by counting, order 2 and up by an anti-join on open k-faces. Nodes on the domain's
+Order 1 nodes are resolved by counting, order 2 and up by an anti-join on open k-faces (``resolve_by_count`` serves order 2, too). Nodes on the domain's
 boundary are kept once each without a hanging test unless ``strict_boundary`` is asked for.
 """
 
@@ -130,20 +130,42 @@ def owners(nodes: DataFrame, splits: DataFrame, grid: Grid) -> DataFrame:
     return out.drop("lev").withColumnRenamed("_node_lev", "lev").select(*nodes.columns, "owner")
 
 
-def neighbour_parts(nodes: DataFrame, splits: DataFrame, grid: Grid, *keep: str) -> DataFrame:
-    """(keep.., part): the distinct parts that own one of the finest cells around each node."""
-    deltas = [[-(k >> d & 1) for d in range(grid.dim)] for k in range(grid.children)]
-    rows = nodes.select(*keep, *grid.axes, F.explode(F.array(*(F.array(*map(F.lit, d)) for d in deltas))).alias("_d"))
-    cells = rows.select(*keep, F.lit(grid.depth).alias("lev"), *((x + F.col("_d")[d]).cast("long").alias(f"x{d}") for d, x in enumerate(grid.x())))
-    cells = cells.filter(all_of([(x >= 0) & (x < 1 << grid.depth) for x in grid.x()]))
-    return containing_part(cells, splits, grid, "part").select(*keep, "part").distinct()
+def neighbour_keys(nodes: DataFrame, grid: Grid, order: int = 1, single: bool = False, *keep: str) -> DataFrame:
+    """(keep.., lev, x..): points of the finest level whose owners hold elements at each node.
 
-
-def scatter_map(nodes: DataFrame, splits: DataFrame, grid: Grid) -> DataFrame:
+    These are the 3^D - 1 points around the node and, for a node inside an open face of its level and near the face's centre (for
+    ``order`` 1 and 2 any), those around that centre: finer elements across a coarse face meet there. With ``single``, for a node
+    whose elements' other nodes are not at hand, it is the 2^D cells at the centres of the node's face and of all faces around it.
+    """
+    level, side = grid.lev(), grid.side(grid.lev())
+    lower = [grid.mask(x, level) for x in grid.x()]
+    inside = [x != a for x, a in zip(grid.x(), lower)]
+    centre = [a + F.when(i, F.call_function("div", side, F.lit(2))).otherwise(0) for a, i in zip(lower, inside)]
+    array = lambda xs: F.array(*(x.cast("long") for x in xs))
+    if single:
+        half = F.call_function("div", side, F.lit(2))
+        around = F.array(*(array([c + half * k for c, k in zip(centre, o)]) for o in grid.offsets(own=True)))
+        shifts = [[-(k >> d & 1) for d in range(grid.dim)] for k in range(grid.children)]
+    else:
+        near = all_of([~i | (F.abs(x - a - F.call_function("div", side, F.lit(2))) * order < side) for x, a, i in zip(grid.x(), lower, inside)]) & (grid.orientation(level) != 0)
+        around = F.array(array(grid.x()), F.when(near, array(centre)))
+        shifts = grid.offsets()
+    rows = nodes.select(*keep, F.explode(around).alias("_p")).filter("_p is not null")
+    rows = rows.select(*keep, "_p", F.explode(F.array(*(F.array(*map(F.lit, o)) for o in shifts))).alias("_d"))
+    rows = rows.select(*keep, F.lit(grid.depth).alias("lev"), *((F.col("_p")[d] + F.col("_d")[d]).cast("long").alias(a) for d, a in enumerate(grid.axes)))
+    return rows.filter(all_of([(x >= 0) & (x <= 1 << grid.depth) for x in grid.x()])).distinct()
+
+
+def neighbour_parts(nodes: DataFrame, splits: DataFrame, grid: Grid, *keep: str, order: int = 1, single: bool = False) -> DataFrame:
+    """(keep.., part): the distinct parts that own elements at each node."""
+    return containing_part(neighbour_keys(nodes, grid, order, single, *keep), splits, grid, "part").select(*keep, "part").distinct()
+
+
+def scatter_map(nodes: DataFrame, splits: DataFrame, grid: Grid, order: int = 1, single: bool = False) -> DataFrame:
     """(x.., src, dst): every owned node with each other part around it."""
-    named = nodes.select(*grid.axes, *(F.col(a).alias(f"n_{a}") for a in grid.axes), F.lit(grid.depth).alias("lev"))
-    owned = containing_part(named, splits, grid, "src").select(*(f"n_{a}" for a in grid.axes), *grid.axes, "src")
-    near = neighbour_parts(owned, splits, grid, *(f"n_{a}" for a in grid.axes), "src")
+    named = nodes.select(*grid.axes, *(F.col(a).alias(f"n_{a}") for a in grid.axes), F.col("lev").alias("n_lev"), F.lit(grid.depth).alias("lev"))
+    owned = containing_part(named, splits, grid, "src").select(*(f"n_{a}" for a in grid.axes), F.col("n_lev").alias("lev"), *grid.axes, "src")
+    near = neighbour_parts(owned, splits, grid, *(f"n_{a}" for a in grid.axes), "src", order=order, single=single)
     return near.filter("part <> src").select(*(F.col(f"n_{a}").alias(a) for a in grid.axes), "src", F.col("part").alias("dst"))
 
 
@@ -156,4 +178,4 @@ def gather_counts(scatter: DataFrame) -> DataFrame:
     return scatter.groupBy("dst", "src").agg(F.count("*").alias("n"))
 
 
-__all__ = ["element_nodes", "interior_nodes", "exterior_nodes", "k_faces", "base_nodes", "with_instances", "locations", "resolve_by_count", "resolve_by_faces", "unique_nodes", "boundary_nodes", "with_node_ids", "owners", "neighbour_parts", "scatter_map", "scatter_counts", "gather_counts"]
+__all__ = ["element_nodes", "interior_nodes", "exterior_nodes", "k_faces", "base_nodes", "with_instances", "locations", "resolve_by_count", "resolve_by_faces", "unique_nodes", "boundary_nodes", "with_node_ids", "owners", "neighbour_keys", "neighbour_parts", "scatter_map", "scatter_counts", "gather_counts"]

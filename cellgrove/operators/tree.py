@@ -69,7 +69,9 @@ def propagate_neighbours(octants: DataFrame, grid: Grid, finest: int | None = No
 def balance(octants: DataFrame, grid: Grid, max_points: int = 1, leaf_depth: int | None = None, constructed: bool = False) -> DataFrame:
     """The complete tree of ``octants`` (or, if ``constructed``, of the tree that they are), refined until neighbours differ by one level at most, over faces, edges and corners."""
     tree = octants if constructed else construct(octants, grid, max_points, leaf_depth)
-    return construct(propagate_neighbours(tree, grid), grid, 1)
+    # the closure holds every octant's parent, so the cells that are split are just these parents
+    split = materialise(propagate_neighbours(tree, grid).filter(F.col("lev") > 0).select(*grid.parent()).distinct())
+    return grid.with_children(split).join(split.filter(F.col("lev") > 0), grid.keys, "left_anti").select(*grid.keys)
 
 
 def balance_violations(tree: DataFrame, grid: Grid) -> DataFrame:
@@ -102,9 +104,11 @@ def level_histogram(tree: DataFrame) -> DataFrame:
 
 
 def stratify(tree: DataFrame, levels: range) -> list[DataFrame]:
-    """One DataFrame a level, the last for all finer ones."""
+    """One DataFrame a level, the first for all coarser ones too, the last for all finer ones."""
     cuts = list(levels)
-    return [tree.filter(F.col("lev") == k) for k in cuts[:-1]] + [tree.filter(F.col("lev") >= cuts[-1])]
+    if len(cuts) < 2:
+        return [tree]
+    return [tree.filter(F.col("lev") <= cuts[0]), *(tree.filter(F.col("lev") == k) for k in cuts[1:-1]), tree.filter(F.col("lev") >= cuts[-1])]
 
 
 def slice_tree(tree: DataFrame, grid: Grid, axis: int, value: int) -> DataFrame:

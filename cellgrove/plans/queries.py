@@ -221,13 +221,13 @@ def pred_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return octs(spark, sf_dir).groupBy("lev").agg(F.count_if(G.touches_boundary()).alias("touching"), F.count("*").alias("n"))
 
 
-BITS = "SELECT p_partkey, (p_size > 0 AND bit_count(p_size) = 1) AS power, length(bin(p_size))::INT AS width, floor(log2(p_size))::INT AS log2, lpad(bin(p_size), 8, '0') AS binary, (1::BIGINT << length(bin(p_size - 1))::INT) AS up, (1::BIGINT << (length(bin(p_size)) - 1)::INT) AS down, (p_size | 4)::BIGINT AS with4, ((p_size >> 1) & 1)::INT AS bit1 FROM part WHERE p_size > 1"
+BITS = "SELECT p_partkey, (p_size > 0 AND bit_count(p_size) = 1) AS power, length(bin(p_size))::INT AS width, CASE WHEN p_size > 0 THEN floor(log2(p_size))::INT END AS log2, lpad(bin(p_size), 8, '0') AS binary, CASE WHEN p_size <= 1 THEN 1 ELSE 1::BIGINT << length(bin(p_size - 1))::INT END AS up, CASE WHEN p_size >= 1 THEN 1::BIGINT << (length(bin(p_size)) - 1)::INT END AS down, (p_size | 4)::BIGINT AS with4, ((p_size >> 1) & 1)::INT AS bit1 FROM part"
 
 
 @query(BITS)
 def bit_utilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("p_size").cast("long")
-    return read(spark, sf_dir, "part").filter("p_size > 1").select("p_partkey", bits.is_power_of_two(x).alias("power"), bits.bit_length(x).alias("width"), bits.floor_log2(x).alias("log2"), bits.to_binary(x, 8).alias("binary"), bits.next_power_of_two(x).alias("up"), bits.previous_power_of_two(x).alias("down"), bits.set_bit(x, 2).alias("with4"), bits.get_bit(x, 1).cast("int").alias("bit1"))
+    return read(spark, sf_dir, "part").select("p_partkey", bits.is_power_of_two(x).alias("power"), bits.bit_length(x).alias("width"), bits.floor_log2(x).alias("log2"), bits.to_binary(x, 8).alias("binary"), bits.next_power_of_two(x).alias("up"), bits.previous_power_of_two(x).alias("down"), bits.set_bit(x, 2).alias("with4"), bits.get_bit(x, 1).cast("int").alias("bit1"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(a0*b0 + a1*b1 + a2*b2, 6) AS dot, round(a1*b2 - a2*b1, 6) AS c0, round(a2*b0 - a0*b2, 6) AS c1, round(a0*b1 - a1*b0, 6) AS c2, round(sqrt(a0*a0 + a1*a1 + a2*a2), 6) AS size, round(a0 + b0, 6) AS s0, round((a0 - b0) / 2, 6) AS d0 FROM (SELECT l_orderkey, l_linenumber, l_quantity AS a0, l_discount AS a1, l_tax AS a2, l_tax AS b0, l_quantity AS b1, l_discount AS b2 FROM lineitem)")
@@ -329,7 +329,7 @@ def permute_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.permute_axes(leaves(spark, sf_dir), [1, 0])
 
 
-@query(f"WITH {TREE} SELECT lev, x0, x1, CASE WHEN lev <= 5 THEN 0 WHEN lev = 6 THEN 1 ELSE 2 END AS stratum FROM tree WHERE lev >= 5")
+@query(f"WITH {TREE} SELECT lev, x0, x1, CASE WHEN lev <= 5 THEN 0 WHEN lev = 6 THEN 1 ELSE 2 END AS stratum FROM tree")
 def stratify_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = tree.stratify(materialise(leaves(spark, sf_dir)), range(5, 8))
     out = [p.withColumn("stratum", F.lit(i)) for i, p in enumerate(parts)]
@@ -393,26 +393,14 @@ def containing_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.containing_part(pts(spark, sf_dir), _splits(spark, sf_dir, leaves(spark, sf_dir)), G).groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_orderkey, k AS o_orderkey FROM (SELECT l_orderkey * 3 // 2 AS l_orderkey FROM lineitem) l ASOF LEFT JOIN (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 5 = 0) o ON l.l_orderkey >= o.k")
-def max_lower_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = read(spark, sf_dir, "lineitem").select(F.expr("l_orderkey * 3 div 2").alias("l_orderkey"))
-    return order.max_lower_bound(keys, read(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0"), "l_orderkey", "o_orderkey")
-
-
-@query("SELECT l_orderkey, k AS o_orderkey FROM (SELECT l_orderkey * 3 // 2 AS l_orderkey FROM lineitem) l ASOF JOIN (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 5 = 0) o ON l.l_orderkey < o.k")
-def min_upper_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = read(spark, sf_dir, "lineitem").select(F.expr("l_orderkey * 3 div 2").alias("l_orderkey"))
-    return order.min_upper_bound(keys, read(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0"), "l_orderkey", "o_orderkey").filter("o_orderkey is not null")
-
-
 @query("SELECT l_extendedprice, k AS o_totalprice FROM lineitem l ASOF LEFT JOIN (SELECT o_totalprice AS k FROM orders) o ON l.l_extendedprice >= o.k")
-def max_lower_bound_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def max_lower_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Looked up in all orders; null where no order is as cheap."""
     return order.max_lower_bound(read(spark, sf_dir, "lineitem").select("l_extendedprice"), read(spark, sf_dir, "orders"), "l_extendedprice", "o_totalprice")
 
 
 @query("SELECT price, k AS o_totalprice FROM (SELECT l_extendedprice * 8 AS price FROM lineitem) l ASOF LEFT JOIN (SELECT o_totalprice AS k FROM orders) o ON l.price < o.k")
-def min_upper_bound_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def min_upper_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Looked up in all orders; null where no order is dearer."""
     return order.min_upper_bound(read(spark, sf_dir, "lineitem").select(F.expr("l_extendedprice * 8").alias("price")), read(spark, sf_dir, "orders"), "price", "o_totalprice")
 
@@ -422,11 +410,18 @@ def prune_to_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.prune_to_part(leaves(spark, sf_dir), G, 3, PARTS)
 
 
+FACE = ", ".join(f"{cut(f'x{i}', 'lev')} + CASE WHEN x{i} <> {cut(f'x{i}', 'lev')} THEN {side('lev')} // 2 ELSE 0 END AS c{i}" for i in range(2))
+CLOSED = "y0 >= 0 AND y1 >= 0 AND y0 <= 1048576 AND y1 <= 1048576"
+CLAMPED = f"SELECT n0, n1, {PATH} AS path FROM (SELECT n0, n1, least(y0, 1048575) AS x0, least(y1, 1048575) AS x1, 20 AS lev FROM {{}})"
 NEAR_NODES = (
-    f"{cg_sql(1)}, {RANGES.replace('FROM tree', 'FROM balanced')}, {SPLITS}, cells AS (SELECT n0, n1, 20 AS lev, x0, x1 FROM (SELECT x0 AS n0, x1 AS n1, x0 - (c & 1) AS x0, x1 - (c >> 1) AS x1 FROM cg, unnest(range(4)) u(c)) k WHERE x0 >= 0 AND x1 >= 0 AND x0 < 1048576 AND x1 < 1048576), "
-    f"near AS (SELECT DISTINCT n0, n1, part FROM (SELECT *, {PATH} AS path FROM cells) c ASOF JOIN splits s ON c.path >= s.path), "
-    f"owned AS (SELECT n0, n1, part AS src FROM (SELECT x0 AS n0, x1 AS n1, {PATH} AS path FROM (SELECT x0, x1, 20 AS lev FROM cg)) c ASOF JOIN splits s ON c.path >= s.path)"
-).replace(f"SELECT x0 AS n0, x1 AS n1, {PATH} AS path FROM (SELECT x0, x1, 20 AS lev FROM cg)", f"SELECT n0, n1, {PATH} AS path FROM (SELECT x0 AS n0, x1 AS n1, least(x0, 1048575) AS x0, least(x1, 1048575) AS x1, 20 AS lev FROM cg)")
+    f"{cg_sql(1)}, {RANGES.replace('FROM tree', 'FROM balanced')}, {SPLITS}, faces AS (SELECT *, {FACE} FROM cg), "
+    f"spots AS (SELECT x0 AS n0, x1 AS n1, x0 AS p0, x1 AS p1 FROM faces UNION ALL SELECT x0, x1, c0, c1 FROM faces WHERE {ORIENT('lev')} <> 0), "
+    f"keys AS (SELECT n0, n1, p0 + o0 AS y0, p1 + o1 AS y1 FROM spots, around WHERE (o0 <> 0 OR o1 <> 0) AND {CLOSED}), "
+    f"near AS (SELECT DISTINCT n0, n1, part FROM ({CLAMPED.format('keys')}) c ASOF JOIN splits s ON c.path >= s.path), "
+    f"single_keys AS (SELECT x0 AS n0, x1 AS n1, c0 + o0 * ({side('lev')} // 2) - (k & 1) AS y0, c1 + o1 * ({side('lev')} // 2) - (k >> 1) AS y1 FROM faces, around, unnest(range(4)) u(k) WHERE {CLOSED}), "
+    f"single AS (SELECT DISTINCT n0, n1, part FROM ({CLAMPED.format('single_keys')}) c ASOF JOIN splits s ON c.path >= s.path), "
+    f"owned AS (SELECT n0, n1, part AS src FROM ({CLAMPED.format('(SELECT x0 AS n0, x1 AS n1, x0 AS y0, x1 AS y1 FROM cg)')}) c ASOF JOIN splits s ON c.path >= s.path)"
+)
 
 
 @query(f"WITH RECURSIVE {BALANCED}, {NEAR_NODES} SELECT src, part AS dst, count(*) AS n FROM near JOIN owned USING (n0, n1) WHERE part <> src GROUP BY ALL")
@@ -435,6 +430,13 @@ def scatter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.scatter_counts(nodes.scatter_map(nodes.unique_nodes(own, G, 1), _splits(spark, sf_dir, own), G))
 
 
+@query(f"WITH RECURSIVE {BALANCED}, {NEAR_NODES} SELECT src, part AS dst, count(*) AS n FROM single JOIN owned USING (n0, n1) WHERE part <> src GROUP BY ALL")
+def scatter_counts_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the keys of nodes that stand alone."""
+    own = materialise(balanced(spark, sf_dir))
+    return nodes.scatter_counts(nodes.scatter_map(nodes.unique_nodes(own, G, 1), _splits(spark, sf_dir, own), G, single=True))
+
+
 @query(f"WITH RECURSIVE {BALANCED}, {NEAR_NODES} SELECT src AS owner, count(*) AS n FROM owned GROUP BY src")
 def node_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = materialise(balanced(spark, sf_dir))
@@ -547,14 +549,76 @@ def gather_ones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements.gather(mesh, vectors.fill(mesh.nodes, 1.0)).groupBy("lev").agg(F.count("*").alias("slots"), F.round(F.sum("v"), 6).alias("total"))
 
 
-@query()
+NODE_ORDER = "row_number() OVER (ORDER BY {}) - 1"
+
+
+def node_key(d: int, m: int) -> str:
+    return " + ".join(f"(((x{i} >> {k}) & 1)::HUGEINT << {k * d + i})" for k in range(m + 1) for i in range(d))
+
+
+def balanced_sql(points: str, d: int, m: int, top: int, most: int) -> str:
+    """CTEs up to ``balanced`` in any dimension."""
+    xs = ", ".join(f"x{i}" for i in range(d))
+    around = f"around AS (SELECT {', '.join(f'(i // {3**k}) % 3 - 1 AS o{k}' for k in range(d))} FROM unnest(range({3**d})) u(i))"
+    up = f"SELECT DISTINCT (lev - 1)::INT AS lev, {', '.join(cut(x, 'lev - 1', m) + f' AS {x}' for x in xs.split(', '))} FROM closure WHERE lev > 0"
+    moved = ", ".join(f"x{k} + o{k} * {side('lev', m)} AS x{k}" for k in range(d))
+    inside = " AND ".join(f"x{k} >= 0 AND x{k} < {1 << m}" for k in range(d))
+    closure = f"closure AS (SELECT lev, {xs} FROM tree UNION SELECT * FROM (SELECT lev, {moved} FROM ({up}) p, around) k WHERE {inside})"
+    return f"{points}, {construct_sql('pts', 'tree', top, most, d, m)}, {around}, {closure}, {construct_sql('closure', 'balanced', m, 1, d, m)}"
+
+
+def nodes_sql(p: int, d: int, m: int) -> str:
+    """CTE ``cg`` in any dimension, orders 1 and 2: by counting, or by open faces."""
+    xs = [f"x{i}" for i in range(d)]
+    names, axes = ", ".join(xs), range(d)
+    edge = "(" + " OR ".join(f"{x} = 0 OR {x} = {1 << m}" for x in xs) + ")"
+    orient = lambda level: "(" + " + ".join(f"CASE WHEN {x} = {cut(x, level, m)} THEN 0 ELSE {1 << i} END" for i, x in enumerate(xs)) + ")"
+    slots = f"slots AS (SELECT s::INT AS s, {', '.join(f'(s // {(p + 1) ** i}) % {p + 1} AS i{i}' for i in axes)} FROM unnest(range({(p + 1) ** d})) u(s))"
+    width = side("e.lev", m)
+    every = f"every AS (SELECT e.lev, {', '.join(f'e.{x} AS e{i}' for i, x in enumerate(xs))}, s AS slot, {', '.join(f'i{i}' for i in axes)}, {', '.join(f'e.{x} + ({width} * i{i}) // {p} AS {x}' for i, x in enumerate(xs))} FROM balanced e, slots)"
+    inner = " AND ".join(f"i{i} > 0 AND i{i} < {p}" for i in axes)
+    if p == 1:
+        return f"{slots}, {every}, place AS (SELECT {names}, count(*) AS n, min(lev) AS lo, max(lev) AS hi FROM every GROUP BY ALL), cg AS (SELECT lo::INT AS lev, {names} FROM place WHERE {edge} OR lo <> hi OR n = (1 << ({d} - bit_count({orient('lo')}))::INT))"
+    key = lambda level: f"{level} AS kl, {orient(level)} AS ko, {', '.join(f'{cut(x, level, m)} AS k{i}' for i, x in enumerate(xs))}"
+    return (
+        f"{slots}, {every}, own AS (SELECT DISTINCT lev, {names} FROM every WHERE NOT ({inner})), keyed AS (SELECT lev, {names}, {key('lev - 1')} FROM own WHERE NOT {edge}), coarse AS (SELECT DISTINCT {key('lev')} FROM own WHERE NOT {edge}), "
+        f"kept AS (SELECT lev, {names} FROM keyed ANTI JOIN coarse USING (kl, ko, {', '.join(f'k{i}' for i in axes)}) UNION ALL SELECT lev, {names} FROM own WHERE {edge}), "
+        f"cg AS (SELECT min(lev)::INT AS lev, {names} FROM kept GROUP BY {names} UNION ALL SELECT lev::INT, {names} FROM every WHERE {inner})"
+    )
+
+
+def incidence_sql(p: int, d: int, m: int) -> str:
+    """CTEs after ``cg``: ``q`` with an element's slot, the node (n0..) it takes and the weight; hanging slots take their parent's."""
+    axes, xs = range(d), [f"x{i}" for i in range(d)]
+    element, at = ", ".join(["lev", *(f"e{i}" for i in axes)]), ", ".join(xs)
+    up = side("h.lev - 1", m)
+    t = lambda i: f"((h.x{i} - p{i})::DOUBLE / {up})"
+    weight = lambda i: f"(1 - abs({t(i)} - s.i{i}))" if p == 1 else f"(CASE s.i{i} WHEN 0 THEN 2 * ({t(i)} - 0.5) * ({t(i)} - 1) WHEN 1 THEN 4 * {t(i)} * (1 - {t(i)}) ELSE 2 * {t(i)} * ({t(i)} - 0.5) END)"
+    return (
+        f"direct AS (SELECT {element}, slot, {', '.join(f'x{i} AS n{i}' for i in axes)}, 1.0::DOUBLE AS w FROM every SEMI JOIN cg USING ({at})), "
+        f"hanging AS (SELECT {element}, slot, {', '.join(cut(f'e{i}', 'lev - 1', m) + f' AS p{i}' for i in axes)}, {at} FROM every ANTI JOIN cg USING ({at})), "
+        f"spread AS (SELECT {', '.join(f'h.{c}' for c in element.split(', '))}, h.slot, {', '.join(f'p{i} + (s.i{i} * {up}) // {p} AS n{i}' for i in axes)}, {' * '.join(weight(i) for i in axes)} AS w FROM hanging h, slots s), "
+        f"q AS (FROM direct UNION ALL SELECT * FROM spread WHERE abs(w) > 1e-14)"
+    )
+
+
+MASS_TREE = f"pts AS (SELECT 20 AS lev, {', '.join(f'floor({x})::BIGINT AS x{i}' for i, x in enumerate(('(l_quantity - 1) / 50.0 * 1048576', 'l_discount / 0.11 * 1048576')))} FROM lineitem)"
+SIMPSON = " * ".join(f"(CASE (slot // {3**i}) % 3 WHEN 1 THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END / 6)" for i in range(2))
+
+
+@query(f"WITH RECURSIVE {balanced_sql(MASS_TREE, 2, 20, 4, 64)}, {nodes_sql(2, 2, 20)}, {incidence_sql(2, 2, 20)}, ids AS (SELECT x0 AS n0, x1 AS n1, ({NODE_ORDER.format(node_key(2, 20))})::BIGINT AS node_id FROM cg) SELECT node_id, round(sum(w * {SIMPSON} * pow(0.25, lev)), 12) AS v FROM q JOIN ids USING (n0, n1) GROUP BY node_id")
 def matvec_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mass operator of order 2 on ones: every element's own part is its area by Simpson's weights, spread over hanging nodes' parents."""
     mesh = elements.build_mesh(tree.balance(generators.lineitem_points(read(spark, sf_dir, "lineitem"), G), G, 64, 4), G, 2)
     y = elements.apply_operator(mesh, vectors.fill(mesh.nodes, 1.0), elements.mass_kernel(2, 2))
     return y.select("node_id", F.round("v", 12).alias("v"))
 
 
-@query()
+#: On a uniform mesh the forcing is an eigenvector of both element operators, so the solution is known and one step finds it.
+HEAT = "SELECT " + NODE_ORDER.format(node_key(2, 3)) + " AS node_id, round(CASE WHEN x0 IN (0, 8) OR x1 IN (0, 8) THEN 0 ELSE pi() * pi() * ((4 + 2 * cos(pi() / 8)) / 48) / ((2 - 2 * cos(pi() / 8)) * 8) * sin(pi() * x0 / 8) * sin(pi() * x1 / 8) END, 8) AS v, 1 AS steps, true AS converged FROM (SELECT i % 9 AS x0, i // 9 AS x1 FROM unnest(range(81)) u(i))"
+
+
+@query(HEAT)
 def cg_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heat equation on a uniform mesh: -u'' = f with zero boundary values, by conjugate gradients."""
     g = Grid(2, 10)
@@ -565,6 +629,40 @@ def cg_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("node_id", F.round("v", 8).alias("v"), F.lit(steps).alias("steps"), F.lit(ok).alias("converged"))
 
 
+# ---- four dimensions -----------------------------------------------------------------------------------------------
+
+TOP4, MOST4 = 4, 64
+BALANCED4 = balanced_sql(PTS4, 4, 6, TOP4, MOST4)
+X4 = "x0, x1, x2, x3"
+
+
+def balanced4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.balance(generators.lineitem_points(read(spark, sf_dir, "lineitem"), G4), G4, MOST4, TOP4)
+
+
+@query(f"WITH RECURSIVE {BALANCED4} SELECT lev, {X4} FROM balanced")
+def tree_balance_4d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced4(spark, sf_dir)
+
+
+@query(f"WITH RECURSIVE {BALANCED4}, {nodes_sql(1, 4, 6)} SELECT lev, {X4} FROM cg")
+def cg_nodes_4d_order1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes.unique_nodes(balanced4(spark, sf_dir), G4, 1)
+
+
+@query(f"WITH RECURSIVE {BALANCED4}, {nodes_sql(2, 4, 6)} SELECT lev, {X4} FROM cg")
+def cg_nodes_4d_order2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes.unique_nodes(balanced4(spark, sf_dir), G4, 2)
+
+
+@query(f"WITH RECURSIVE {BALANCED4}, {nodes_sql(1, 4, 6)}, {incidence_sql(1, 4, 6)}, u AS (SELECT lev, e0, e1, e2, e3, slot, sum(w) AS v FROM q GROUP BY ALL) SELECT n0 AS x0, n1 AS x1, n2 AS x2, n3 AS x3, round(sum(w * v), 6) AS v FROM q JOIN u USING (lev, e0, e1, e2, e3, slot) GROUP BY ALL")
+def matvec_4d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The identity element operator on ones in 4-D, with hanging nodes."""
+    mesh = elements.build_mesh(balanced4(spark, sf_dir), G4, 1)
+    y = elements.apply_operator(mesh, vectors.fill(mesh.nodes, 1.0), None)
+    return mesh.nodes.join(y, "node_id").select(*G4.axes, F.round("v", 6).alias("v"))
+
+
 @query()
 def function_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.refine_by_function(spark, Grid(2, 20), lambda x: np.sin(2 * np.pi * x[:, 0]) * np.sin(2 * np.pi * x[:, 1]), 1, 0.01, 7)

@@ -257,3 +257,28 @@ def test_base_nodes_and_gather_counts(spark):
     a = {(r.src, r.dst): r.n for r in nodes.scatter_counts(moved).collect()}
     b = {(r.src, r.dst): r.n for r in nodes.gather_counts(moved).collect()}
     assert a == b and all(s != d for s, d in a)
+
+
+def test_one_point_repeated_takes_many_ranges(spark):
+    """A million equal points are ranked without one task getting them all."""
+    grid = Grid(2, 20)
+    points = spark.range(1_000_000, numPartitions=8).select(F.lit(20).alias("lev"), F.lit(7).cast("long").alias("x0"), F.lit(9).cast("long").alias("x1"))
+    ranked = materialise(order.with_rank(points, grid))
+    assert ranked.agg(F.countDistinct("rank"), F.max("rank")).first() == (1_000_000, 999_999)
+    assert ranked.groupBy("part").count().agg(F.max("count")).first()[0] < 600_000
+    keys = points.selectExpr("x0 AS k").unionByName(spark.range(10).selectExpr("id AS k"))
+    found = order.max_lower_bound(keys, points.limit(100_000).selectExpr("x0 AS v"), "k", "v")
+    assert {(r.k, r.v): r["count"] for r in found.groupBy("k", "v").count().collect()} == {(7, 7): 1_000_001, (8, 7): 1, (9, 7): 1} | {(k, None): 1 for k in range(7)}
+
+
+def test_owners_across_a_coarse_face(spark):
+    """A node in the middle of a coarse cell's face sees the owners around it; one that stands alone those at the centres of the faces around."""
+    grid = Grid(2, 4)
+    node = frame(spark, grid, [(1, 8, 4)])  # in the open face x0 = 8 of level 1
+    near = {(r.x0, r.x1) for r in nodes.neighbour_keys(node, grid).collect()}
+    assert near == {(8 + a, 4 + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b}
+    off = {(r.x0, r.x1) for r in nodes.neighbour_keys(frame(spark, grid, [(1, 8, 3)]), grid, 1).collect()}
+    assert off == {(8 + a, y + b) for y in (3, 4) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b}
+    assert {(r.x0, r.x1) for r in nodes.neighbour_keys(frame(spark, grid, [(1, 8, 0)]), grid, 3).collect()} == {(8 + a, b) for a in (-1, 0, 1) for b in (0, 1) if a or b}
+    single = {(r.x0, r.x1) for r in nodes.neighbour_keys(node, grid, single=True).collect()}
+    assert single == {(8 + 4 * a - c, 4 + 4 * b - d) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (0, 1) for d in (0, 1) if 4 + 4 * b - d >= 0}
