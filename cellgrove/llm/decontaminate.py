@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from cellgrove.llm.common import runs, small_batches, texts_of, written
 
 #: Words of the benchmark in one pass and in one piece, and words of training text in one suffix array.
-BLOCK_WORDS, PIECE_WORDS, SHARD_WORDS = 2_000_000, 250_000, 1_000_000
+BLOCK_WORDS, PIECE_WORDS, SHARD_WORDS = 2_000_000, 250_000, 400_000
 
 #: Bytes to bytes: A-Z to a-z, other ASCII but digits and letters to a space, beyond ASCII as it is.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))

@@ -39,18 +39,21 @@ TARGETS = {
     "lang": {"en": 0.40, "de": 0.20, "fr": 0.20, "es": 0.15, OTHER: 0.05},
     "topic": {"prose": 0.70, "table": 0.10, "marked": 0.15, "shout": 0.05, OTHER: 0.0},
 }
-CAPITALS, SIGNS, WORDS = "[A-Z]{2,}", "[#$%&*+=<>{}\\[\\]^~`@/_\\\\]+", "[^ \\x09-\\x0D]+"
+CAPITALS, SIGNS = "[A-Z]{2,}+", "[#$%&*+=<>{}\\[\\]^~`@/_\\\\]++"
+WHITE, BLACK = "[ \\x09-\\x0D]", "[^ \\x09-\\x0D]"
 
 
 def form_of(text: Column) -> Column:
-    """A table has two bars or tabs a line and four at least; a shouted text a run of capitals in half of its words; a marked one a run of signs in a quarter."""
-    count = lambda x: F.coalesce(F.regexp_count(text, F.lit(x)), F.lit(0))
-    times = lambda *xs: sum(F.length(text) - F.length(F.replace(text, F.lit(x))) for x in xs)
-    return F.when((times("|", "\t") >= 4) & (times("|", "\t") >= 2 * times("\n") + 2), "table").when((count(CAPITALS) > 0) & (2 * count(CAPITALS) >= tokens_of(text)), "shout").when((count(SIGNS) > 0) & (4 * count(SIGNS) >= tokens_of(text)), "marked").otherwise("prose")
+    """A table has two bars or tabs a line and four at least; a shouted text a third of its characters in runs of capitals; a marked one a tenth in signs."""
+    without = lambda x: F.length(text) - F.length(x)
+    times = lambda *xs: sum(without(F.replace(text, F.lit(x))) for x in xs)
+    run = lambda x: without(F.regexp_replace(text, x, ""))
+    return F.when((times("|", "\t") >= 4) & (times("|", "\t") >= 2 * times("\n") + 2), "table").when((F.length(text) > 0) & (3 * run(CAPITALS) >= F.length(text)), "shout").when((F.length(text) > 0) & (10 * run(SIGNS) >= F.length(text)), "marked").otherwise("prose")
 
 
 def tokens_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
+    """Words between white space: each is replaced by one character, so that no list of words is built."""
+    return F.when(F.rlike(text, F.lit(BLACK)), F.length(F.regexp_replace(text, f"{WHITE}*+{BLACK}++{WHITE}*+", "."))).otherwise(0).cast("long")
 
 
 def _category(column: Column, target: dict[str, float]) -> Column:
@@ -153,9 +156,10 @@ def mix_sql(documents: str = "documents", targets: dict | None = None, rate: flo
     targets = targets or TARGETS
     dims = list(targets)
     quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
-    count = lambda x: f"coalesce(len(regexp_extract_all(text, '{x}')), 0)"
-    times = lambda *xs: "(" + " + ".join(f"length(text) - length(replace(text, chr({ord(x)}), ''))" for x in xs) + ")"
-    form = f"CASE WHEN {times('|', chr(9))} >= 4 AND {times('|', chr(9))} >= 2 * {times(chr(10))} + 2 THEN 'table' WHEN {count(CAPITALS)} > 0 AND 2 * {count(CAPITALS)} >= {count(WORDS)} THEN 'shout' WHEN {count(SIGNS)} > 0 AND 4 * {count(SIGNS)} >= {count(WORDS)} THEN 'marked' ELSE 'prose' END"
+    without = lambda x: f"length(text) - length({x})"
+    times = lambda *xs: "(" + " + ".join(without(f"replace(text, chr({ord(x)}), '')") for x in xs) + ")"
+    run = lambda x: "(" + without(f"regexp_replace(text, '{x[:-1]}', '', 'g')") + ")"
+    form = f"CASE WHEN {times('|', chr(9))} >= 4 AND {times('|', chr(9))} >= 2 * {times(chr(10))} + 2 THEN 'table' WHEN length(text) > 0 AND 3 * {run(CAPITALS)} >= length(text) THEN 'shout' WHEN length(text) > 0 AND 10 * {run(SIGNS)} >= length(text) THEN 'marked' ELSE 'prose' END"
     value = {"source": "source", "lang": "lang", "topic": form}
     group = ", ".join(f"CASE WHEN ({value[d]}) IN ({quoted(k for k in targets[d] if k != OTHER)}) THEN ({value[d]}) ELSE '{OTHER}' END AS {d}_group" for d in dims)
     keys = ", ".join(f"{d}_group" for d in dims)
@@ -169,7 +173,7 @@ def mix_sql(documents: str = "documents", targets: dict | None = None, rate: flo
         step = f"(SELECT * REPLACE (least(s, CASE WHEN {total} > 0 THEN x * (goal_{d} * r * total / {total}) ELSE 0 END) AS x) FROM {step})"
     off = ", ".join(f"max(abs(sum_{d} / drawn - goal_{d}))" for d in dims)
     out = [
-        f"grouped AS (SELECT *, {count(WORDS)}::BIGINT AS n_tokens, {group} FROM {documents})",
+        f"grouped AS (SELECT *, coalesce(len(regexp_extract_all(text, '{BLACK}+')), 0)::BIGINT AS n_tokens, {group} FROM {documents})",
         f"c0 AS (SELECT {keys}, sum(n_tokens)::DOUBLE AS s FROM grouped GROUP BY ALL)",
         f"c1 AS (SELECT *, {wanted}, {supply}, sum(s) OVER () AS total FROM c0)",
         f"c2 AS (SELECT *, {goal} FROM c1)",
