@@ -255,7 +255,8 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     def same(other: DataFrame) -> Column:
         return F.col(key).eqNullSafe(other["_id"]) & (hashes["_h1"] == other["_h1"]) & (hashes["_h2"] == other["_h2"])
 
-    kept = df.join(gone, same(gone), "left_anti")
+    # by shuffle at every size: the rows to drop grow with the input
+    kept = df.join(gone.hint("merge"), same(gone), "left_anti")
     if again.isEmpty():
         return kept.select(*df.columns)
     row = F.struct(*(F.col(c) for c in df.columns))
