@@ -8,7 +8,8 @@ sum over its segmentations, by forward recursion in log space; a text's is the p
 
 Words are scored once each in a table of the whole corpus's distinct words, which grows with the input. The most
 frequent ``FREQUENT`` words of up to 256 bytes, a bounded table, are sent to the tasks; all others are joined by
-the word. So neither frequent words nor long documents meet in one task.
+the word. So neither frequent words nor long documents meet in one task. Words are walked many side by side; few long ones, one by
+one in pieces of ``PART`` positions, so a word of a million code points takes seconds and memory in proportion.
 
 Defined results: a null or empty text is only its end; with no training rows the weights are the file's. Equal texts
 get equal scores up to the order of floating-point sums; repeated rows each get their own row.
@@ -32,6 +33,8 @@ FREQUENT, LONG = 100_000, 256
 BYTE_SHARE, PRIOR, ZIPF = 1e-3, 1000.0, 2.7
 #: Words in one recursion, and distinct words that a worker counts before it hands them on.
 SIDE_BY_SIDE, HELD = 8192, 400_000
+#: Fewer words than ``FEW`` of more than ``LONG`` code points are walked one by one; positions whose pieces are looked up at once.
+FEW, PART = 64, 1 << 16
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SPACE = "▁"
 BASE = 0x9E3779B97F4A7C15
@@ -97,16 +100,87 @@ class Lattice:
         """Log probability of each word and, with ``weight``, the expected counts of pieces and bytes over all words."""
         out = np.zeros(len(words))
         counts = np.zeros(len(logs)) if weight is not None else None
-        order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(size, kind="stable")
         i = 0
         while i < len(order):
-            width = len(words[order[min(i + SIDE_BY_SIDE, len(order)) - 1]])
-            step = max(1, min(SIDE_BY_SIDE, SIDE_BY_SIDE * 24 // max(24, width)))
+            # as many words as fit when all are as wide as the widest
+            width = np.maximum(24, size[order[i : i + SIDE_BY_SIDE]])
+            step = max(1, int(np.searchsorted(width * np.arange(1, len(width) + 1), SIDE_BY_SIDE * 24, "right")))
             some = order[i : i + step]
-            out[some] = self._block([words[j] for j in some], logs, None if weight is None else weight[some], counts)
+            if step < FEW and width[step - 1] > LONG:
+                for j in some:
+                    out[j] = self._long(words[j], logs, None if weight is None else weight[j], counts)
+            else:
+                out[some] = self._block([words[j] for j in some], logs, None if weight is None else weight[some], counts)
             i += step
         return out, counts
 
+    def _long(self, word: str, logs: np.ndarray, weight: float | None, counts: np.ndarray | None) -> float:
+        """What ``_block`` gives for one word: the pieces that end in a part of the word are found at once, only the recursion goes by position."""
+        whole = SPACE + word
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        spelled = np.frombuffer(whole.encode("utf-8", "replace"), np.uint8)
+        first = np.flatnonzero((spelled & 0xC0) != 0x80)
+        byte_logs = logs[self.n + spelled.astype(np.int64)]
+        raw = np.add.reduceat(byte_logs, first).tolist()
+        top = len(points)
+        powers = np.full(top + 1, BASE, np.uint64)
+        powers[0] = 1
+        np.multiply.accumulate(powers, out=powers)
+        back = np.full(top, pow(BASE, -1, 1 << 64), np.uint64)
+        np.multiply.accumulate(back, out=back)
+        prefix = np.zeros(top + 1, np.uint64)
+        prefix[1:] = np.cumsum((points + np.uint64(1)) * back, dtype=np.uint64) * powers[1:]
+
+        def arcs(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+            """End, length and piece of all that end at ``lo`` to ``hi``, in order of the end, and where each end's begin."""
+            ends, lengths, found = [], [], []
+            for k in range(1, min(hi, self.longest) + 1):
+                j = np.arange(max(lo, k), hi + 1)
+                which = self.find(prefix[j] - prefix[j - k] * powers[k])
+                at = np.flatnonzero(which >= 0)
+                ends.append(j[at])
+                lengths.append(np.full(len(at), k))
+                found.append(self.ids[which[at]])
+            end = np.concatenate(ends)
+            by_end = np.argsort(end, kind="stable")
+            end = end[by_end]
+            return end, np.concatenate(lengths)[by_end], np.concatenate(found)[by_end], np.searchsorted(end, np.arange(lo, hi + 2)).tolist()
+
+        def plus(x: float, y: float) -> float:
+            return x + math.log1p(math.exp(y - x)) if x > y else y + math.log1p(math.exp(x - y))
+
+        parts = [(lo, min(top, lo + PART - 1)) for lo in range(1, top + 1, PART)]
+        alpha = [0.0] * (top + 1)
+        for lo, hi in parts:
+            _, length, piece, begin = arcs(lo, hi)
+            length, own = length.tolist(), logs[piece].tolist()
+            for j in range(lo, hi + 1):
+                a = alpha[j - 1] + raw[j - 1]
+                for i in range(begin[j - lo], begin[j - lo + 1]):
+                    a = plus(a, alpha[j - length[i]] + own[i])
+                alpha[j] = a
+        total = alpha[top]
+        if counts is None:
+            return total
+        beta = [-math.inf] * top + [0.0]
+        for lo, hi in reversed(parts):
+            end, length, piece, begin = arcs(lo, hi)
+            starts, own = (end - length).tolist(), logs[piece].tolist()
+            for j in range(hi, lo - 1, -1):
+                b = beta[j]
+                beta[j - 1] = plus(beta[j - 1], raw[j - 1] + b)
+                for i in range(begin[j - lo], begin[j - lo + 1]):
+                    beta[starts[i]] = plus(beta[starts[i]], own[i] + b)
+            if len(end):
+                low = max(0, lo - self.longest)
+                a, b = np.array(alpha[low:hi]), np.array(beta[lo : hi + 1])
+                counts += np.bincount(piece, np.exp(a[end - length - low] + logs[piece] + b[end - lo] - total) * weight, len(counts))
+        by_bytes = np.exp(np.array(alpha[:-1]) + np.array(raw) + np.array(beta[1:]) - total) * weight
+        counts += np.bincount(self.n + spelled.astype(np.int64), np.repeat(by_bytes, np.diff(np.append(first, len(spelled)))), len(counts))
+        return total
+
     def _block(self, words: list[str], logs: np.ndarray, weight: np.ndarray | None, counts: np.ndarray | None) -> np.ndarray:
         n, size = len(words), np.array([len(w) + 1 for w in words])
         top = int(size.max())

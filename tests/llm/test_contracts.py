@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import time
 import zlib
@@ -162,6 +163,29 @@ def test_lattice_is_the_sum_over_all_segmentations():
         assert counts[k] == pytest.approx(slope, abs=1e-5)
 
 
+@pytest.mark.parametrize("part", [7, 1 << 16])
+def test_long_words_alone_and_side_by_side(monkeypatch, part):
+    monkeypatch.setattr(lattice, "PART", part)
+    rnd = random.Random(5)
+    names, logs = lattice.read_pieces()
+    net = lattice.Lattice(names)
+    words = sorted(["".join(rnd.choice("theofandingé日😀▁=7") for _ in range(rnd.randint(0, 700))) for _ in range(30)], key=len)
+    weight = np.arange(1.0, len(words) + 1)
+    together, alone = np.zeros(len(logs)), np.zeros(len(logs))
+    a = net._block(words, logs, weight, together)
+    b = [net._long(w, logs, x, alone) for w, x in zip(words, weight)]
+    assert np.allclose(a, b, rtol=1e-12) and np.allclose(together, alone)
+
+
+def test_a_word_of_very_many_code_points():
+    names, logs = lattice.read_pieces()
+    net = lattice.Lattice(names)
+    began = time.perf_counter()
+    (short, long, twice), counts = net.walk(["etaoin", "etaoinshrdlu" * 20_000, "etaoinshrdlu" * 40_000], logs, np.ones(3))
+    assert time.perf_counter() - began < 60
+    assert twice - long == pytest.approx(long, rel=1e-3) and short > long and np.isfinite(counts).all()
+
+
 def test_lattice_query(spark, monkeypatch):
     monkeypatch.setattr(lattice, "FREQUENT", 500)
     docs = documents(spark)
