@@ -3,7 +3,8 @@
 A payload of 8-bit samples becomes an audio track of unsigned PCM. Frames of 1,024 samples are laced into simple
 blocks, blocks are held in clusters, and cues index the clusters. The parser reads variable-length element ids and
 sizes (unknown sizes too), clusters, block groups, simple blocks, all four kinds of lacing and the cues, and yields a
-packet table with track, timestamp and byte range of every frame.
+packet table with track, timestamp and byte range of every frame. Frames of a lace follow one another by the block's duration, else by the
+track's default duration, else, in PCM, by their samples; where none of these is known they share the block's timestamp.
 
 Defined results: a null text or payload is empty and is stored as 64 zero bytes; a blob that is no Matroska file gives
 one row with ``error`` set and no packet. Every row is handled on its own, so ties, repeated rows and empty tables
@@ -34,8 +35,8 @@ EBML_VERSION, EBML_READ, EBML_ID_LEN, EBML_SIZE_LEN = 0x4286, 0x42F7, 0x42F2, 0x
 DOC_TYPE, DOC_VERSION, DOC_READ = 0x4282, 0x4287, 0x4285
 TIMESTAMP_SCALE, DURATION, MUXER, WRITER = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, LACING_FLAG, CODEC = 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86
-AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
-TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
+AUDIO, SAMPLING, CHANNELS, BIT_DEPTH, DEFAULT_DURATION = 0xE1, 0xB5, 0x9F, 0x6264, 0x23E383
+TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE, BLOCK_DURATION = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB, 0x9B
 CUE, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER, CUE_RELATIVE = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1, 0xF0
 
 MASTERS = {SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE, CUE_POSITIONS}
@@ -183,8 +184,18 @@ def _laces(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
     return [*out, (at, end)]
 
 
+def _later(track: dict | None, frames: int, done: int) -> int:
+    """Nanoseconds from a block's start to the frame that ``frames`` frames and ``done`` bytes of it precede."""
+    if not track:
+        return 0
+    if track.get("frame_ns"):
+        return frames * track["frame_ns"]
+    second = track["rate"] * track["channels"] * track["bits"] / 8  # bytes
+    return round(done * 1e9 / second) if second and track["codec"].startswith("A_PCM") else 0
+
+
 def read_matroska(data: bytes) -> dict:
-    """The file's packet table. Keys: ``scale``, ``tracks`` (number: codec, rate, channels, bits), ``packets`` (cluster, track, nanoseconds, start, length, key frame, lacing) and ``cues`` (nanoseconds, track, byte of the cluster)."""
+    """The file's packet table. Keys: ``scale``, ``tracks`` (number: codec, rate, channels, bits, and frame_ns, nanoseconds a frame, where it is given), ``packets`` (cluster, track, nanoseconds, start, length, key frame, lacing) and ``cues`` (nanoseconds, track, byte of the cluster)."""
     out: dict = {"scale": 1_000_000, "tracks": {}, "packets": [], "cues": []}
     uint = lambda p, q: int.from_bytes(data[p:q], "big")
     real = lambda p, q: struct.unpack(">d" if q - p == 8 else ">f", data[p:q])[0]
@@ -205,45 +216,46 @@ def read_matroska(data: bytes) -> dict:
                         track["number"] = uint(c, d)
                     elif k == CODEC:
                         track["codec"] = data[c:d].decode("ascii", "replace")
+                    elif k == DEFAULT_DURATION:
+                        track["frame_ns"] = uint(c, d)
                     elif k == AUDIO:
                         for j, _, e, f in elements(data, c, d):
                             track |= {"rate": real(e, f)} if j == SAMPLING else {"channels": uint(e, f)} if j == CHANNELS else {"bits": uint(e, f)} if j == BIT_DEPTH else {}
                 out["tracks"][track["number"]] = track
         elif kind == CLUSTER:
             time = 0
-            todo = list(elements(data, p, q))
-            while todo:
-                k, _, a, b = todo.pop(0)
+            for k, _, a, b in elements(data, p, q):
                 if k == TIMESTAMP:
                     time = uint(a, b)
-                elif k == BLOCK_GROUP:
+                    continue
+                blocks, key, lasts = [(a, b)] if k == SIMPLE_BLOCK else [], None, None
+                if k == BLOCK_GROUP:
                     inner = list(elements(data, a, b))
+                    blocks = [x[2:] for x in inner if x[0] == BLOCK]
                     key = all(x[0] != REFERENCE for x in inner)
-                    todo[:0] = [(BLOCK if key else -BLOCK, *x[1:]) for x in inner if x[0] == BLOCK]
-                elif k in (SIMPLE_BLOCK, BLOCK, -BLOCK):
-                    track, _, c = _read_vint(data, a, b, False)
+                    lasts = next((uint(*x[2:]) for x in inner if x[0] == BLOCK_DURATION), None)
+                for a, b in blocks:
+                    number, _, c = _read_vint(data, a, b, False)
                     rel, flags = struct.unpack(">hB", data[c : c + 3])
-                    key = bool(flags & 0x80) if k == SIMPLE_BLOCK else k == BLOCK
-                    rate = (out["tracks"].get(track) or {}).get("rate") or 0
-                    first = begin = (time + rel) * out["scale"]
-                    done = 0
-                    for s, e in _laces(data, c + 3, b, flags >> 1 & 3):
+                    laces = _laces(data, c + 3, b, flags >> 1 & 3)
+                    first, done = (time + rel) * out["scale"], 0
+                    for i, (s, e) in enumerate(laces):
                         if not c + 3 <= s <= e <= b:
                             raise MatroskaError(f"a lace of the block at byte {a} is out of bounds")
-                        out["packets"].append((n_cluster, track, begin, s, e - s, key, flags >> 1 & 3))
+                        later = lasts * out["scale"] * i // len(laces) if lasts is not None else _later(out["tracks"].get(number), i, done)
+                        out["packets"].append((n_cluster, number, first + later, s, e - s, bool(flags & 0x80) if key is None else key, flags >> 1 & 3))
                         done += e - s
-                        begin = first + (round(done * 1e9 / rate) if rate else 0)
             n_cluster += 1
         elif kind == CUES:
             for _, _, a, b in elements(data, p, q):
-                time, track, where = 0, 0, 0
+                time, places = 0, []
                 for k, _, c, d in elements(data, a, b):
                     if k == CUE_TIME:
                         time = uint(c, d)
                     elif k == CUE_POSITIONS:
-                        for j, _, e, f in elements(data, c, d):
-                            track, where = (uint(e, f), where) if j == CUE_TRACK else (track, uint(e, f)) if j == CUE_CLUSTER else (track, where)
-                out["cues"].append((time * out["scale"], track, base + where))
+                        found = {j: uint(e, f) for j, _, e, f in elements(data, c, d)}
+                        places.append((found.get(CUE_TRACK, 0), base + found.get(CUE_CLUSTER, 0)))
+                out["cues"] += [(time * out["scale"], *place) for place in places]
     return out
 
 
@@ -279,8 +291,8 @@ def packet_table(df: DataFrame, media: str, key: str) -> DataFrame:
             for k, data in zip(batch.column(0), texts_of(batch.column(1))):
                 try:
                     parsed = read_matroska(data)
-                    starts = {t for t, *_ in parsed["cues"]}
-                    rows = [(i, c, t, ns, s, n, kf, names[lace], ns in starts, None) for i, (c, t, ns, s, n, kf, lace) in enumerate(parsed["packets"])]
+                    starts = {x[:2] for x in parsed["cues"]}
+                    rows = [(i, c, t, ns, s, n, kf, names[lace], (ns, t) in starts, None) for i, (c, t, ns, s, n, kf, lace) in enumerate(parsed["packets"])]
                 except (MatroskaError, IndexError, struct.error) as e:
                     rows = [(None,) * 9 + (str(e),)]
                 if rows:

@@ -36,6 +36,28 @@ def test_unknown_sizes_and_block_groups():
     assert matroska.read_payload(media) == b"abcabc"
 
 
+def timed(codec, extra=b"", duration=None, rate=8000.0, channels=2, bits=16):
+    """Timestamps in ms of a block of four laced frames of 32 bytes at 10 ms."""
+    m = matroska
+    audio = m._element(m.AUDIO, m._float(m.SAMPLING, rate) + m._uint(m.CHANNELS, channels) + m._uint(m.BIT_DEPTH, bits))
+    track = m._element(m.TRACKS, m._element(m.TRACK, m._uint(m.TRACK_NUMBER, 1) + m._element(m.CODEC, codec) + extra + audio))
+    group = m._element(m.BLOCK, m._block(1, 10, [bytes(32)] * 4, "auto")) + (b"" if duration is None else m._uint(m.BLOCK_DURATION, duration))
+    cluster = m._element(m.CLUSTER, m._uint(m.TIMESTAMP, 0) + m._element(m.BLOCK_GROUP, group))
+    where = lambda number, at: m._element(m.CUE_POSITIONS, m._uint(m.CUE_TRACK, number) + m._uint(m.CUE_CLUSTER, at))
+    cues = m._element(m.CUES, m._element(m.CUE, m._uint(m.CUE_TIME, 10) + where(1, 5) + where(2, 6)))
+    parsed = m.read_matroska(m.HEAD + m._element(m.SEGMENT, track + cluster + cues))
+    assert [(t, n, at - parsed["cues"][0][2]) for t, n, at in parsed["cues"]] == [(10_000_000, 1, 0), (10_000_000, 2, 1)]
+    return [p[2] / 1e6 for p in parsed["packets"]]
+
+
+def test_times_of_laced_frames():
+    assert timed(b"A_PCM/INT/LIT") == [10, 11, 12, 13]  # 32 bytes are 8 samples of 2 x 16 bits
+    assert timed(b"A_PCM/INT/LIT", channels=1, bits=8) == [10, 14, 18, 22]
+    assert timed(b"A_OPUS", matroska._uint(matroska.DEFAULT_DURATION, 20_000_000)) == [10, 30, 50, 70]
+    assert timed(b"A_OPUS", matroska._uint(matroska.DEFAULT_DURATION, 20_000_000), duration=40) == [10, 20, 30, 40]
+    assert timed(b"A_OPUS") == [10, 10, 10, 10]  # nothing tells how long a frame lasts
+
+
 def test_digests(spark, odd, none):
     found = {r.doc_id: r for r in matroska.media_digests(odd).collect()}
     for r in odd.collect():
